@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vanikosh.llm import canon, language, turns
+from vanikosh.llm import bpe, canon, language, terms, turns
 
-_MODULES = (canon, turns, language)
+_MODULES = (canon, terms, turns, language, bpe)
 
 
 def queries() -> dict:
