@@ -13,7 +13,6 @@ characters and fractions stay as they are, since they look different.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -22,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vanikosh.operators.stage import stage
+
 # --- fixed values -----------------------------------------------------------
 
 #: Code points a reader sees as a blank.
@@ -59,29 +60,27 @@ _LETTERS = {ord(k): v for k, v in LOOKALIKE.items()}
 _INDIC = "\u0900-\u0963\u0970-\u0dff"
 _SEQ = "|".join(SEQUENCES)
 _SEQ_RE = re.compile(_SEQ)
-_NUKTA = "\u093c"
-#: Pairs that composition joins or canonical order swaps.
-_JOINS = [(a, _NUKTA) for a in "\u0928\u0930\u0933\u094d"] + [("\u09c7", "\u09be"), ("\u09c7", "\u09d7"), ("\u09cd", "\u09bc")]
 _PIPES_RE = re.compile(rf"(?<=[{_INDIC}])( ?)(\|\|?)")
 _COLON_RE = re.compile(rf"(?<=[{_INDIC}]):(?=[{_INDIC}])")
 
-#: Matches every text that may not be in canonical form yet; the same pattern runs in the JVM and in Python. Texts it
-#: does not match hold only ASCII, Devanagari and Bengali characters that are already composed and single-spaced.
-ODD_PATTERN = (
-    r"[^ -~\u0900-\u0957\u0960-\u097f\u0980-\u09db\u09de\u09e0-\u09ff]|  |^ | $"
-    rf"|{_SEQ}|{'|'.join(a + b for a, b in _JOINS)}|{_NUKTA}[\u0900-\u0903\u093e-\u094d]*{_NUKTA}"
-    rf"|[{_INDIC}] ?\||[{_INDIC}]:"
+#: Characters of texts that need no work, unless they stand in one of the pairs below.
+_USUAL = " -~\u0900-\u0957\u0960-\u097f\u0980-\u09db\u09de\u09e0-\u09ff"
+#: Pairs that may be a sequence drawn like one character, compose, or stand in no canonical order.
+_PAIRS = (
+    r"[\u0905\u0906\u090f\u093e][\u093e\u0945\u0947-\u0949\u094b\u094c]|\u0985\u09be|\u0964\u0964"
+    r"|[\u0928\u0930\u0933\u094d]\u093c|\u093c[\u0900-\u0903\u093e-\u094d]*\u093c|\u09c7[\u09be\u09d7]|\u09cd\u09bc"
 )
-# The same test in the parts that Python's regular expressions scan fast: a class, and branches that begin with a letter.
-_STRANGE_RE = re.compile("[^" + ODD_PATTERN.split("[^", 1)[1].split("]", 1)[0] + "]")
-_JOINS_RE = re.compile(_SEQ + "|" + "|".join(a + b for a, b in _JOINS) + rf"|{_NUKTA}[\u0900-\u0903\u093e-\u094d]*{_NUKTA}")
+#: Matches every text that may not be in canonical form yet; the same test runs in the JVM and in Python. Texts it
+#: does not match hold only ASCII, Devanagari and Bengali characters that are already composed and single-spaced.
+ODD_PATTERN = rf"[^{_USUAL}]|{_PAIRS}|  |^ | $|[|:](?<=[{_INDIC}][|:])|\|(?<=[{_INDIC}] \|)"
+_STRANGE_RE, _PAIRS_RE = re.compile(f"[^{_USUAL}]"), re.compile(_PAIRS)
 _MARKS_RE = re.compile(rf"[{_INDIC}](?: ?\||:)")
 
 
 def _is_odd(text: str) -> bool:
     return bool(
         _STRANGE_RE.search(text)
-        or _JOINS_RE.search(text)
+        or _PAIRS_RE.search(text)
         or ((":" in text or "|" in text) and _MARKS_RE.search(text))
         or "  " in text
         or text[:1] == " "
@@ -95,7 +94,8 @@ _STYLED_TAGS = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
 @lru_cache(maxsize=1)
 def _styled() -> re.Pattern:
     """Characters whose compatibility mapping would change their look."""
-    found = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.decomposition(chr(c)).startswith(_STYLED_TAGS)]
+    blocks = (range(0xA0, 0xA700), range(0x10780, 0x107C0), range(0x1E030, 0x1E070), range(0x1F100, 0x1F300))
+    found = [chr(c) for block in blocks for c in block if unicodedata.decomposition(chr(c)).startswith(_STYLED_TAGS)]
     return re.compile("([" + re.escape("".join(found)) + "]+)")
 
 
@@ -183,14 +183,12 @@ def lookalike_pairs(values: DataFrame) -> DataFrame:
     pair has a row that is not in canonical form, so only those few rows are one side of the join; the other side is
     all rows, as two hashes of 64 bits and an id. Rows that are equal as strings are no pair.
     """
-    rows = values.where(F.col("raw").isNotNull() & F.col("grp").isNotNull())
+    rows = values.where(F.col("raw").isNotNull() & F.col("grp").isNotNull()).withColumn("odd", F.col("raw").rlike(ODD_PATTERN))
     # word-final visarga and colon are drawn alike but have no common canonical form
-    look = lambda form: F.translate(form, "\u0903\u0983", "::")
-    odd = rows.where(F.col("raw").rlike(ODD_PATTERN)).withColumn("form", look(_form("raw"))).where("form <> ''")
-    plain = rows.where(~F.col("raw").rlike(ODD_PATTERN)).withColumn("form", look(F.col("raw"))).where("trim(form) <> ''")
-    keyed = lambda df, is_odd: df.select("tbl", "grp", "id", F.xxhash64("form").alias("k"), F.xxhash64("raw", F.lit(7)).alias("v"), F.lit(is_odd).alias("odd"))
-    a = keyed(odd, True).drop("odd")
-    b = keyed(odd, True).unionByName(keyed(plain, False)).withColumnsRenamed({"id": "id_2", "v": "v_2"})
+    form = F.translate(F.coalesce(_form(F.when(F.col("odd"), F.col("raw"))), F.col("raw")), "\u0903\u0983", "::")
+    keyed = rows.withColumn("form", form).where(F.trim("form") != "")
+    keyed = stage(keyed.select("tbl", "grp", "id", F.xxhash64("form").alias("k"), F.xxhash64("raw", F.lit(7)).alias("v"), "odd"), "p1-keys")
+    a, b = keyed.where("odd").drop("odd"), keyed.withColumnsRenamed({"id": "id_2", "v": "v_2"})
     return (
         a.join(b, ["tbl", "grp", "k"])
         .where((F.col("v") != F.col("v_2")) & (~F.col("odd") | (F.col("id") < F.col("id_2"))))
