@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vanikosh.llm import bpe, canon, language, terms, turns
+from vanikosh.llm import bpe, canon, language, spam, terms, turns
 
-_MODULES = (canon, terms, turns, language, bpe)
+_MODULES = (canon, terms, turns, language, bpe, spam)
 
 
 def queries() -> dict:

@@ -77,6 +77,11 @@ _RUN = re.compile(r"(.)\1+")
 _HALVES = re.compile("(\\w\u094d)\\1+")
 
 
+def is_note(content: str) -> bool:
+    """Whether the content of a bracket is a known annotation, maybe with a duration or a closing slash."""
+    return _NOTE_TAIL.sub("", content.strip().lower()) in _NOTES
+
+
 def filler_forms(terms) -> frozenset[str]:
     """Hesitations by their form without drawn-out letters."""
     return frozenset(squeeze(canonical(t, "lower")) for t in terms if t and t.strip())
@@ -119,8 +124,7 @@ class LineParser:
         for m in _ITEM.finditer(form):
             kind = m.lastgroup or "name"
             if kind == "round":
-                inner = _NOTE_TAIL.sub("", m[0][1:-1].strip().lower())
-                if inner not in _NOTES and inner:
+                if m[0][1:-1].strip() and not is_note(m[0][1:-1]):
                     continue
             tokens += form[at : m.start()].split(" ")
             at = m.end()
