@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vanikosh.llm import bpe, canon, language, spam, terms, turns
+from vanikosh.llm import bpe, canon, language, mix, spam, terms, turns
 
-_MODULES = (canon, terms, turns, language, bpe, spam)
+_MODULES = (canon, terms, turns, language, bpe, mix, spam)
 
 
 def queries() -> dict:
