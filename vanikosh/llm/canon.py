@@ -55,12 +55,13 @@ SEQUENCES = {
 # --- tables derived from them -------------------------------------------------
 
 _CONTROL = [c for c in range(0xA0) if unicodedata.category(chr(c)) == "Cc" and chr(c) not in SPACES]
-_DROP_OR_SPACE = {c: None for lo, hi in IGNORABLE for c in range(lo, hi + 1)} | dict.fromkeys(_CONTROL) | {ord(c): " " for c in SPACES}
-_LETTERS = {ord(k): v for k, v in LOOKALIKE.items()}
+_DROP_RE = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in IGNORABLE) + re.escape("".join(map(chr, _CONTROL))) + "]+")
+_SPACE_RE = re.compile("[" + re.escape(SPACES) + "]+")
+_LETTERS_RE = re.compile("[" + re.escape("".join(LOOKALIKE)) + "]")
 _INDIC = "\u0900-\u0963\u0970-\u0dff"
 _SEQ = "|".join(SEQUENCES)
 _SEQ_RE = re.compile(_SEQ)
-_PIPES_RE = re.compile(rf"(?<=[{_INDIC}])( ?)(\|\|?)")
+_PIPES_RE = re.compile(rf"(?<=[{_INDIC}])(\|\|?)")
 _COLON_RE = re.compile(rf"(?<=[{_INDIC}]):(?=[{_INDIC}])")
 
 #: Characters of texts that need no work, unless they stand in one of the pairs below.
@@ -73,6 +74,8 @@ _PAIRS = (
 #: Matches every text that may not be in canonical form yet; the same test runs in the JVM and in Python. Texts it
 #: does not match hold only ASCII, Devanagari and Bengali characters that are already composed and single-spaced.
 ODD_PATTERN = rf"[^{_USUAL}]|{_PAIRS}|  |^ | $|[|:](?<=[{_INDIC}][|:])|\|(?<=[{_INDIC}] \|)"
+#: Scripts whose composed letters may hold a look-alike.
+_BICAMERAL_RE = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 _STRANGE_RE, _PAIRS_RE = re.compile(f"[^{_USUAL}]"), re.compile(_PAIRS)
 _MARKS_RE = re.compile(rf"[{_INDIC}](?: ?\||:)")
 
@@ -99,6 +102,11 @@ def _styled() -> re.Pattern:
     return re.compile("([" + re.escape("".join(found)) + "]+)")
 
 
+def _clean(text: str) -> str:
+    """Without ignorable characters, and with one blank for any white space."""
+    return _SPACE_RE.sub(" ", _DROP_RE.sub("", text))
+
+
 def _decompose(text: str) -> str:
     parts = _styled().split(text)
     if len(parts) == 1:
@@ -114,15 +122,19 @@ def canonical(text: str | None, case: str | None = None) -> str | None:
     if text is None:
         return None
     if _is_odd(text):
-        text = text.translate(_DROP_OR_SPACE)
+        text = _clean(text)
         if not text.isascii():
-            text = unicodedata.normalize("NFC", _decompose(text).translate(_LETTERS))
-            text = text.translate(_DROP_OR_SPACE)
+            if not unicodedata.is_normalized("NFKC", text) or _BICAMERAL_RE.search(text):
+                text = _decompose(text)
+            if _LETTERS_RE.search(text):
+                text = _LETTERS_RE.sub(lambda m: LOOKALIKE[m[0]], text)
+            text = _clean(unicodedata.normalize("NFC", text))
             text = _SEQ_RE.sub(lambda m: SEQUENCES[m[0]], text)
-        text = " ".join(text.split(" ")) if "  " not in text else " ".join(x for x in text.split(" ") if x)
         text = text.strip(" ")
-        text = _PIPES_RE.sub(lambda m: m[1] + ("\u0964" if m[2] == "|" else "\u0965"), text)
-        text = _COLON_RE.sub("\u0903", text)
+        if "|" in text:
+            text = _PIPES_RE.sub(lambda m: "\u0964" if m[1] == "|" else "\u0965", text)
+        if ":" in text:
+            text = _COLON_RE.sub("\u0903", text)
     if case == "fold":
         text = unicodedata.normalize("NFC", text.casefold())
     elif case == "lower":
@@ -184,8 +196,8 @@ def lookalike_pairs(values: DataFrame) -> DataFrame:
     all rows, as two hashes of 64 bits and an id. Rows that are equal as strings are no pair.
     """
     rows = values.where(F.col("raw").isNotNull() & F.col("grp").isNotNull()).withColumn("odd", F.col("raw").rlike(ODD_PATTERN))
-    # word-final visarga and colon are drawn alike but have no common canonical form
-    form = F.translate(F.coalesce(_form(F.when(F.col("odd"), F.col("raw"))), F.col("raw")), "\u0903\u0983", "::")
+    # some look-alikes have no common canonical form: word-final visarga and colon, danda and bar after a blank
+    form = F.translate(F.coalesce(_form(F.when(F.col("odd"), F.col("raw"))), F.col("raw")), "\u0903\u0983\u0964", "::|")
     keyed = rows.withColumn("form", form).where(F.trim("form") != "")
     keyed = stage(keyed.select("tbl", "grp", "id", F.xxhash64("form").alias("k"), F.xxhash64("raw", F.lit(7)).alias("v"), "odd"), "p1-keys")
     a, b = keyed.where("odd").drop("odd"), keyed.withColumnsRenamed({"id": "id_2", "v": "v_2"})
