@@ -1 +1 @@
-
+"""Column functions: each takes and returns columns, so that Catalyst sees the whole plan."""
