@@ -14,19 +14,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vanikosh.functions.text import bind
+
 PAIRS = T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("hyp", T.StringType())]))
 OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("ref_w", T.StringType()), T.StructField("hyp_w", T.StringType())]))
 
-#: Characters that stand for tokens; a pair with more distinct tokens is compared in Python.
+#: Characters that stand for tokens; a pair with more tokens is compared in Python.
 _ALPHABET = "".join(map(chr, range(0x4E00, 0x9FA6)))
 
 
 def token_distance(ref: Column, hyp: Column) -> Column:
     """Least number of replaced, missing and added tokens."""
-    kinds = F.array_distinct(F.concat(ref, hyp))
-    named = lambda words: F.array_join(F.transform(words, lambda w: F.substring(F.lit(_ALPHABET), F.array_position(kinds, w).cast("int"), F.lit(1))), "")
-    few = F.size(kinds) <= len(_ALPHABET)
-    return F.when(few, F.levenshtein(named(ref), named(hyp))).otherwise(_distance(F.when(~few, ref), F.when(~few, hyp)))
+
+
+    def compare(kinds: Column) -> Column:
+        named = lambda words: F.array_join(F.transform(words, lambda w: F.substring(F.lit(_ALPHABET), F.array_position(kinds, w).cast("int"), F.lit(1))), "")
+        return F.levenshtein(named(ref), named(hyp))
+
+    few = F.size(ref) + F.size(hyp) <= len(_ALPHABET)
+    return F.when(few, bind(F.array_distinct(F.concat(ref, hyp)), compare)).otherwise(_distance(F.when(~few, ref), F.when(~few, hyp)))
 
 
 @F.pandas_udf(T.IntegerType())

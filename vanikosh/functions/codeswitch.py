@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vanikosh.functions import lexicon as L
 from vanikosh.functions.numbers import normalize_numbers
-from vanikosh.functions.text import U, alternatives, tokens
+from vanikosh.functions.text import U, alternatives, bind, tokens
 
 _DEVANAGARI = rf"[{U}0900-{U}097f]"
 _MARKS = "[" + re.escape(L.TAG_PUNCTUATION) + "]"
@@ -31,9 +31,11 @@ def token_tags(text: Column) -> Column:
     """Per token ``struct(position, token, core, method, nativised)``."""
 
     def tag(token: Column, i: Column) -> Column:
-        core = F.regexp_replace(token, rf"^{_MARKS}+|{_MARKS}+$", "")
-        method = tag_method(core)
-        return F.struct(i.alias("position"), token.alias("token"), core.alias("core"), method.alias("method"), ((method == "known_loanword") & core.isin(L.NATIVISED)).alias("nativised"))
+        def describe(core: Column) -> Column:
+            known = ~is_latin(core) & core.isin(L.LOANWORDS)
+            return F.struct(i.alias("position"), token.alias("token"), core.alias("core"), tag_method(core).alias("method"), (known & core.isin(L.NATIVISED)).alias("nativised"))
+
+        return bind(F.regexp_replace(token, rf"^{_MARKS}+|{_MARKS}+$", ""), describe)
 
     return F.transform(tokens(text), tag)
 
@@ -57,6 +59,10 @@ def tagged_text(text: Column) -> Column:
 
 def cleanup(text: Column) -> Column:
     """``struct(normed, tagged, num_changes, en_tags)``: numbers as digits, then English words tagged in the result."""
-    numbers = normalize_numbers(text)
-    normed = numbers["text"]
-    return F.struct(normed.alias("normed"), tagged_text(normed).alias("tagged"), numbers["changes"].alias("num_changes"), english_tags(normed).alias("en_tags"))
+
+
+    def record(numbers: Column) -> Column:
+        normed = numbers["text"]
+        return F.struct(normed.alias("normed"), tagged_text(normed).alias("tagged"), numbers["changes"].alias("num_changes"), english_tags(normed).alias("en_tags"))
+
+    return bind(normalize_numbers(text), record)

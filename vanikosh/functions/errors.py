@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vanikosh.functions import lexicon as L
-from vanikosh.functions.text import composed, tokens, word_at
+from vanikosh.functions.text import bind, composed, tokens, word_at
 
 _E, _AA, _EEN = chr(0x947), chr(0x93E), chr(0x940) + chr(0x902)
 
@@ -44,23 +44,29 @@ def stem(word: Column) -> Column:
 
 def repair(text: Column) -> Column:
     """Agreement before ``ने`` and after feminine plurals, then postpositions that the next word's stem asks for."""
-    words = tokens(text)
+    return bind(bind(tokens(text), _agreed), lambda words: F.array_join(_governed(words), " "))
 
+
+def _agreed(words: Column) -> Column:
     def agree(w: Column, i: Column) -> Column:
         cut = F.substring(w, F.lit(1), F.length(w) - 1)
         can = w.endswith(_E) & (F.length(w) > 1)
         return F.when(can & word_at(words, i - 1).isin(list(L.FEMININE_PLURAL)), F.concat(cut, F.lit(_EEN))).when(can & (word_at(words, i + 1) == "ने"), F.concat(cut, F.lit(_AA))).otherwise(w)
 
-    agreed = F.transform(words, agree)
+    return F.transform(words, agree)
+
 
+def _governed(words: Column) -> Column:
     def govern(w: Column, i: Column) -> Column:
-        head = stem(word_at(agreed, i + 1))
-        out = w
-        for stems, wrong, right in L.GOVERNMENT:  # of rules that fit the same stem the last one decides
-            out = F.when(head.isin(stems) & w.isin(wrong), F.lit(right)).otherwise(out)
-        return out
+        def choose(head: Column) -> Column:
+            out = w
+            for stems, wrong, right in L.GOVERNMENT:  # of rules that fit the same stem the last one decides
+                out = F.when(head.isin(stems) & w.isin(wrong), F.lit(right)).otherwise(out)
+            return out
+
+        return F.when(w.isin(L.REPAIRED_POSTPOSITIONS), bind(bind(word_at(words, i + 1), stem), choose)).otherwise(w)
 
-    return F.array_join(F.transform(agreed, govern), " ")
+    return F.transform(words, govern)
 
 
 def spelling_variants(token: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vanikosh.functions import lexicon as L
-from vanikosh.functions.text import WHITE, alternatives, tokens
+from vanikosh.functions.text import WHITE, alternatives, bind, tokens
 
 UNITS = {w: i for i, words in enumerate(L.UNIT_WORDS) for w in words.split()}
 _ANY = alternatives([*UNITS, *L.MULTIPLIERS])
@@ -51,7 +51,12 @@ def normalize_numbers(text: Column) -> Column:
 
     Null stays null. A number too large for 38 digits keeps its words.
     """
-    gaps, spans = F.split(text, RUN, -1), F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+    untouched = F.struct(text.alias("text"), F.array().cast(_LOG).alias("changes"))
+    pieces = F.struct(F.split(text, RUN, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("spans"))
+    return F.when(text.isNull(), None).when(text.rlike(RUN), bind(pieces, lambda p: _folded(text, p["gaps"], p["spans"]))).otherwise(untouched)
+
+
+def _folded(text: Column, gaps: Column, spans: Column) -> Column:
     n = F.size(spans)
     lengths = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
 
@@ -60,16 +65,17 @@ def normalize_numbers(text: Column) -> Column:
         start = lengths(F.slice(gaps, F.lit(1), k)) + F.when(k > 1, lengths(F.slice(spans, F.lit(1), k - 1))).otherwise(0)
         left = F.substring(text, F.greatest(F.lit(1), start - (BEFORE - 1)), F.least(F.lit(BEFORE), start))
         window = F.concat(left, span, F.substring(acc["right"], 1, AFTER))
-        number = words_to_int(tokens(span)).cast("string")
-        kept = window.rlike(IDIOM) | number.isNull()
-        out = F.when(kept, span).otherwise(number)
-        entry = F.struct(span.alias("original"), out.alias("converted"), F.when(kept, "KEPT (idiom/phrase)").otherwise("CONVERTED").alias("action"))
-        return F.struct(F.concat(gap, out, acc["right"]).alias("right"), F.concat(F.array(entry), acc["changes"]).cast(_LOG).alias("changes"))
+        number = F.when(~window.rlike(IDIOM), words_to_int(tokens(span)).cast("string"))
+
+        def write(number: Column) -> Column:
+            out = F.coalesce(number, span)
+            entry = F.struct(span.alias("original"), out.alias("converted"), F.when(number.isNull(), "KEPT (idiom/phrase)").otherwise("CONVERTED").alias("action"))
+            return F.struct(F.concat(gap, out, acc["right"]).alias("right"), F.concat(F.array(entry), acc["changes"]).cast(_LOG).alias("changes"))
+
+        return bind(number, write)
 
     start = F.struct(F.element_at(gaps, -1).alias("right"), F.array().cast(_LOG).alias("changes"))
-    folded = F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, step, lambda a: F.struct(a["right"].alias("text"), a["changes"].alias("changes")))
-    untouched = F.struct(text.alias("text"), F.array().cast(_LOG).alias("changes"))
-    return F.when(text.isNull(), None).when(n > 0, folded).otherwise(untouched)
+    return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, step, lambda a: F.struct(a["right"].alias("text"), a["changes"].alias("changes")))
 
 
 def digit_table() -> dict[str, tuple[str, ...]]:

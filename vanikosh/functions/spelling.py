@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vanikosh.functions import lexicon as L
-from vanikosh.functions.text import U, WHITE, alternatives, composed, word_at
+from vanikosh.functions.text import U, WHITE, alternatives, bind, composed, word_at
 
 _C, _V, _S = f"[{L.CONSONANTS}]", f"[{L.VOWEL_LETTERS}]", f"[{L.VOWEL_SIGNS}]"
 _NASALS = [L.ANUSVARA, L.CHANDRABINDU]
@@ -15,6 +15,13 @@ _DEVA = rf"[{U}0900-{U}097f]"
 _FOREIGN = rf"[^{U}0900-{U}097f0-9'–-]"
 _SIGNS = list(L.VOWEL_SIGNS)
 _LETTERS = list(L.CONSONANTS)
+#: Matches exactly the words that have a placement issue.
+_MISPLACED = "|".join(
+    (
+        rf"^(?:{_S}|[{''.join(_NASALS)}])", rf"[{L.VOWEL_SIGNS}{''.join(_NASALS)}{L.VISARGA}]{_S}", f"{L.HALANT}$",
+        f"[^{L.CONSONANTS}]{L.HALANT}", f"{L.ANUSVARA}{L.ANUSVARA}", f"{L.VISARGA}[^{L.CONSONANTS}]",
+    )
+)
 
 
 def placement_issues(word: Column) -> Column:
@@ -45,10 +52,12 @@ def placement_issues(word: Column) -> Column:
 
 def classify(word: Column) -> Column:
     """``struct(label, confidence, reason)`` of a word; the first rule that holds decides. Null counts as empty."""
-    w = composed(F.coalesce(F.regexp_replace(word, rf"^[{WHITE}]+|[{WHITE}]+$", ""), F.lit("")))
+    return bind(composed(F.coalesce(F.regexp_replace(word, rf"^[{WHITE}]+|[{WHITE}]+$", ""), F.lit(""))), _decide)
+
+
+def _decide(w: Column) -> Column:
     n = F.length(w)
     deva, digit = w.rlike(_DEVA), w.rlike(r"(?U)\d")
-    issues = placement_issues(w)
     foreign = F.regexp_extract(w, f"({_FOREIGN})", 1)
     triple = F.regexp_extract(w, rf"({_C})\1\1", 1)
     first, second = F.substring(w, 1, 1), F.substring(w, 2, 1)
@@ -71,7 +80,7 @@ def classify(word: Column) -> Column:
         .when((n == 1) & w.isin([*_SIGNS, L.HALANT, L.AVAGRAHA, *_DIACRITICS]), bad("high", "lone_sign"))
         .when(n == 1, bad("medium", "unknown_character"))
         .when(foreign != "", bad("high", strange))
-        .when(F.size(issues) > 0, bad("high", F.concat(F.lit("placement:"), F.array_join(F.slice(issues, 1, 2), "; "))))
+        .when(w.rlike(_MISPLACED), bad("high", F.concat(F.lit("placement:"), F.array_join(F.slice(placement_issues(w), 1, 2), "; "))))
         .when(~w.rlike(rf"{_V}|{_S}") & (n <= 3) & w.rlike(rf"^[{L.CONSONANTS}{L.HALANT}{''.join(_DIACRITICS)}]+$"), bad("medium", "no_vowel_short"))
         .when(~w.rlike(rf"{_V}|{_S}"), bad("high", "no_vowel"))
         .when(triple != "", bad("high", F.concat(F.lit("tripled_consonant:"), triple)))

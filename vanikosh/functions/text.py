@@ -14,6 +14,11 @@ _APART = {chr(0x958 + i): chr(c) + _NUKTA for i, c in enumerate((0x915, 0x916, 0
 _TOGETHER = {chr(c - 1) + _NUKTA: chr(c) for c in (0x929, 0x931, 0x934)}
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
     """The pieces between white space, none of them empty; null for null."""
     return F.filter(F.split(text, f"[{WHITE}]+"), lambda t: t != "")

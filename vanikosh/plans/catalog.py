@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from vanikosh.operators import intervals
+from vanikosh.plans import cleanup, files, quality, words
+from vanikosh.streaming import segments
 
-FLAGSHIP = "p2_found"
-_MODULES = (intervals,)
+FLAGSHIP = "corpus_wer_by_lang"
+_MODULES = (intervals, words, cleanup, quality, files, segments)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-
+"""The operators over streams of segments."""
