@@ -228,7 +228,7 @@ _STRETCH = "array<struct<lang:string,confidence:double,first_word:int,words:int>
 
 def fit(spark: SparkSession, sf_dir: str, max_samples: int = MAX_SAMPLES) -> LanguageModel:
     """The model fitted on the bounded, fixed table ``lang_samples``."""
-    samples = spark.read.parquet(f"{sf_dir}/lang_samples.parquet").select("sample_id", "lang", "script", "text").where("text is not null and lang is not null")
+    samples = spark.read.parquet(f"{sf_dir}/lang_samples.parquet").select("sample_id", "lang", "script", "text").where(F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES))
     rank = F.row_number().over(Window.partitionBy("lang", "script").orderBy("sample_id"))
     rows = samples.withColumn("_n", rank).where(F.col("_n") <= max_samples).orderBy("sample_id").collect()
     terms = [r.term for r in spark.read.parquet(f"{sf_dir}/filler_terms.parquet").select("term").where("term is not null").distinct().orderBy("term").limit(max_samples).collect()]

@@ -33,7 +33,9 @@ LEAST_SCALE = {"density": 0.02, "entropy": 0.05, "repetition": 0.08, "function":
 CUT = 4.0
 #: Quantile 0.95 of the chi-square distribution with six degrees of freedom.
 DISTANCE = 12.59
-#: A key phrase is two words in a row, not both function words, that come this often and make up this share of all places.
+#: A key phrase is two words in a row, not both function words, that come this often and make up this share of all
+#: places. What comes again and again as a whole is a refrain: of equal sentences only ``REFRAIN`` count.
+REFRAIN = 2
 KEY_COUNT, KEY_SHARE = 5, 0.1
 #: Share of its words that a sentence gives to the key phrase if it is built to carry it.
 KEY_COVER = 0.25
@@ -95,7 +97,7 @@ def _language(words: list[str]) -> str:
 def describe(text: str) -> dict:
     """Language, number of words, features and share of spam words of one text."""
     text = canonical(re.sub(r"[\r\n\x0b\x0c\x85  ]+", _LINE, text))
-    units, body, n_links, n_entries = [], [], 0, 0
+    units, body, n_links, n_entries, spoken = [], [], 0, 0, 0
     for part in _SENTENCE.split(text):
         if not part or part.isspace():
             continue
@@ -111,26 +113,28 @@ def describe(text: str) -> dict:
             rest = _TAG.sub(" ", rest)
         prices = len(_PRICE.findall(rest))
         words = [w.lower() for w in _WORD.findall(rest)]
-        body.append(words)
+        body.append([] if _SPEAKER.match(part) else words)
+        spoken += len(words) if not body[-1] else 0
         units.append((part, words, anchors, tags, prices))
         n_links += anchors
         n_entries += tags + (len(words) if prices and len(words) <= 6 * prices else 0)
-    said = [w for words in body for w in words]
+    said = [w for u in units for w in u[1]]
     total = len(said) + n_links + sum(u[3] for u in units)
     if not total:
         return {"language": "und", "words": 0, **dict.fromkeys(FEATURES, 0.0), "spam": 0.0}
-    pairs = Counter(p for words in body for p in zip(words, words[1:]) if not (p[0] in _FUNCTION and p[1] in _FUNCTION))
+    pairs, places = _key_pairs(body)
     top = pairs.most_common(3)
+    places = max(1, places + spoken + n_links + sum(u[3] for u in units))
     counts = np.fromiter(Counter(said).values(), float) if said else np.ones(1)
     share = counts / counts.sum()
-    keys = {p for p, c in pairs.items() if c >= KEY_COUNT and c >= KEY_SHARE * total}
+    keys = {p for p, c in pairs.items() if c >= KEY_COUNT and c >= KEY_SHARE * places}
     spam = n_links + _spam_words(units, keys)
     return {
         "language": _language(said),
         "words": total,
-        "density": top[0][1] / total if top and top[0][1] >= 3 else 0.0,
+        "density": top[0][1] / places if top and top[0][1] >= 3 else 0.0,
         "entropy": float(-(share * np.log(share)).sum() / np.log(max(len(said), 2))),
-        "repetition": min(1.0, sum(2 * c for _, c in top if c >= 3) / total),
+        "repetition": min(1.0, sum(2 * c for _, c in top if c >= 3) / places),
         "function": sum(w in _FUNCTION for w in said) / max(1, len(said)),
         "links": n_links / total,
         "entries": n_entries / total,
@@ -138,6 +142,20 @@ def describe(text: str) -> dict:
     }
 
 
+def _key_pairs(body: list[list[str]]) -> tuple[Counter, int]:
+    """Pairs of words in a row, and the number of words they were counted over."""
+    pairs, seen, places = Counter(), Counter(), 0
+    for words in body:
+        if len(words) >= RUN:
+            whole = tuple(words)
+            seen[whole] += 1
+            if seen[whole] > REFRAIN:
+                continue
+        places += len(words)
+        pairs.update(p for p in zip(words, words[1:]) if not (p[0] in _FUNCTION and p[1] in _FUNCTION))
+    return pairs, places
+
+
 def _too_few(function: int, n: int) -> bool:
     return n >= RUN and function < n * max(FEW, USUAL - TAIL * (USUAL * (1 - USUAL) / n) ** 0.5)
 
@@ -152,15 +170,16 @@ def _spam_words(units: list[tuple], keys: set) -> int:
             continue
         function = sum(w in _FUNCTION for w in words)
         listed = (anchors and (n <= 8 or function < n * FEW)) or (prices and n <= 6 * prices)
-        if not listed and keys:
+        labelled = _SPEAKER.match(part)
+        if not listed and keys and not labelled:
             hit = [p in keys for p in zip(words, words[1:])]
             listed = sum(a or b for a, b in zip([*hit, False], [False, *hit])) >= KEY_COVER * n
         if listed:
             spam += n
-        elif n < RUN and part.rstrip()[-1:] not in _ENDS and not _SPEAKER.match(part):
+        elif n < RUN and part.rstrip()[-1:] not in _ENDS and not labelled:
             run, few = run + n, few + function
             continue
-        elif _too_few(function, n) and not _SPEAKER.match(part):
+        elif _too_few(function, n) and not labelled:
             spam += n
         if _too_few(few, run):
             spam += run
