@@ -32,7 +32,7 @@ LANGUAGES = ("hi", "en", "mr", "bn")
 MAX_SAMPLES = 20_000
 ORDER = 5
 CLIP = 5.0
-SWITCH = 8.0
+SWITCH = 9.0
 MIN_RUN = 4
 FOLDS = 5
 
