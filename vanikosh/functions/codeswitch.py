@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +10,6 @@ from vanikosh.functions.numbers import normalize_numbers
 from vanikosh.functions.text import U, alternatives, bind, tokens
 
 _DEVANAGARI = rf"[{U}0900-{U}097f]"
-_MARKS = "[" + re.escape(L.TAG_PUNCTUATION) + "]"
 _ENGLISH_SOUND = rf"^(?:{alternatives(L.ENGLISH_BEGINNINGS)})|[{L.ENGLISH_LETTERS}]"
 
 
@@ -35,7 +32,7 @@ def token_tags(text: Column) -> Column:
             known = ~is_latin(core) & core.isin(L.LOANWORDS)
             return F.struct(i.alias("position"), token.alias("token"), core.alias("core"), tag_method(core).alias("method"), (known & core.isin(L.NATIVISED)).alias("nativised"))
 
-        return bind(F.regexp_replace(token, rf"^{_MARKS}+|{_MARKS}+$", ""), describe)
+        return bind(F.btrim(token, F.lit(L.TAG_PUNCTUATION)), describe)
 
     return F.transform(tokens(text), tag)
 
@@ -50,9 +47,10 @@ def tagged_text(text: Column) -> Column:
     """Text with English words in ``[EN]…[/EN]``, punctuation outside, single blanks between tokens."""
 
     def mark(t: Column) -> Column:
-        before = F.regexp_extract(t["token"], rf"^({_MARKS}*)", 1)
-        after = F.regexp_extract(t["token"], rf"({_MARKS}*)$", 1)
-        return F.when(t["method"].isNull(), t["token"]).otherwise(F.concat(before, F.lit("[EN]"), t["core"], F.lit("[/EN]"), after))
+        token, marks = t["token"], F.lit(L.TAG_PUNCTUATION)
+        before = F.left(token, F.length(token) - F.length(F.ltrim(token, marks)))
+        after = F.right(token, F.length(token) - F.length(F.rtrim(token, marks)))
+        return F.when(t["method"].isNull(), token).otherwise(F.concat(before, F.lit("[EN]"), t["core"], F.lit("[/EN]"), after))
 
     return F.array_join(F.transform(token_tags(text), mark), " ")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,5 +64,14 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def alternatives(words) -> str:
-    """A pattern of any of the words, longest first."""
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    """A pattern of any of the words, longest first, with common beginnings taken together: a word that fails, fails at its first letters."""
+    words = sorted(set(words))
+    if len(words) <= 1:
+        return re.escape(words[0]) if words else "(?!)"
+    out = []
+    for first, group in itertools.groupby([w for w in words if w], key=lambda w: w[0]):
+        group = list(group)
+        shared = os.path.commonprefix(group)
+        tails = [w[len(shared) :] for w in group]
+        out.append(re.escape(shared) + (f"(?:{alternatives(tails)})" if len(tails) > 1 else ""))
+    return "|".join(out) + ("|" if "" in words else "")

@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: where a small input has fewer partitions than the cluster has cores, its rows are dealt out.
+    For work per row that outweighs moving the row; large inputs have more partitions and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: what follows neither repeats its work nor
     depends on the executors that did it. The files go when the driver's JVM ends."""
