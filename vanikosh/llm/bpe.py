@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from vanikosh.operators.stage import spread
+
 # --- fixed values: the public pattern of the words, with white space spelled out ------
 
 _WHITE = r"\t-\r \x85\xa0" + "".join("\\u%04x" % c for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -281,7 +283,7 @@ def encoded(documents: DataFrame, path: str | None = None, text: str = "text", k
     A null and an empty text have an empty list, a text of any length is encoded whole, repeated rows are kept.
     """
     shared = documents.sparkSession.sparkContext.broadcast(ByteBpe(path or default_path()))  # a few MB, fixed by the vocabulary
-    rows = documents.select(*keep, text)
+    rows = spread(documents.select(*keep, text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +300,7 @@ def encoded(documents: DataFrame, path: str | None = None, text: str = "text", k
 def token_counts(documents: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``n_tokens``: the number of tokens of each text, 0 for null and empty ones."""
     shared = documents.sparkSession.sparkContext.broadcast(ByteBpe(path or default_path()))
-    rows = documents.select(*keep, text)
+    rows = spread(documents.select(*keep, text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

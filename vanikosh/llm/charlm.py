@@ -17,8 +17,8 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _hash_grams(codes: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the ``order`` characters that end at every position; ``starts``: first position of each word."""
+def _hash_grams(codes: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the ``order`` characters that end at every position; at the first positions zeros stand in front."""
     h = np.full(len(codes), np.uint64(order), dtype=np.uint64)
     for back in range(order - 1, -1, -1):
         shifted = np.zeros(len(codes), dtype=np.uint64)
@@ -26,7 +26,6 @@ def _hash_grams(codes: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray
             shifted[back:] = codes[: len(codes) - back]
         h = (h ^ shifted) * _PRIME
         h ^= h >> np.uint64(29)
-    del starts
     return h * _MIX
 
 
@@ -75,13 +74,13 @@ class KneserNey:
         p = np.full(len(codes), 1 / self.alphabet)
         for k in range(1, self.order + 1):
             full = place >= k - 1
-            hashes = _hash_grams(codes, place, k)
+            hashes = _hash_grams(codes, k)
             got, value = _look(self.tables[k - 1], hashes)
             if k == 1:
                 weight = np.full(len(codes), self.backoff[0][1][0])
             else:
                 context = np.empty(len(codes), dtype=np.uint64)
-                context[0], context[1:] = 0, _hash_grams(codes, place, k - 1)[:-1]
+                context[0], context[1:] = 0, _hash_grams(codes, k - 1)[:-1]
                 known, weight = _look(self.backoff[k - 1], context)
                 weight = np.where(known, weight, 1.0)
             p = np.where(full, np.where(got, value, weight * p), p)
@@ -94,7 +93,7 @@ def _sorted(values: dict[str, float], order: int) -> tuple[np.ndarray, np.ndarra
     grams = list(values)
     codes = np.array([[ord(c) for c in g] for g in grams], dtype=np.uint64).reshape(len(grams), order)
     flat = codes.ravel()
-    hashes = _hash_grams(flat, flat, order)[order - 1 :: order]
+    hashes = _hash_grams(flat, order)[order - 1 :: order]
     at = np.argsort(hashes)
     return hashes[at], np.fromiter(values.values(), float, len(values))[at]
 

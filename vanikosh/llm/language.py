@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from vanikosh.llm.canon import canonical_series
 from vanikosh.llm.charlm import KneserNey, word_scores
 from vanikosh.llm.speech import LineParser
+from vanikosh.operators.stage import spread
 
 LANGUAGES = ("hi", "en", "mr", "bn")
 MAX_SAMPLES = 20_000
@@ -248,7 +249,7 @@ def stretches(segments: DataFrame, model: LanguageModel) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"seg_id": pdf["seg_id"], "label": pdf["label"], "stretches": labeller.label(pdf["text"])})
 
-    return segments.select("seg_id", label_column(F.col("lang")).alias("label"), "text").mapInPandas(run, f"seg_id bigint, label string, stretches {_STRETCH}")
+    return spread(segments.select("seg_id", label_column(F.col("lang")).alias("label"), "text")).mapInPandas(run, f"seg_id bigint, label string, stretches {_STRETCH}")
 
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:

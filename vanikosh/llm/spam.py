@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vanikosh.llm.canon import canonical
 from vanikosh.llm.speech import is_note
-from vanikosh.operators.stage import stage
+from vanikosh.operators.stage import spread, stage
 
 FEATURES = ("density", "entropy", "repetition", "function", "links", "entries")
 #: The side of each feature on which spam lies, and the least scale it is given.
@@ -82,7 +82,6 @@ _SPEAKER = regex.compile(r"^\s*(?:[\[(<]\s*)?(?:speaker|spk|वक्ता|ব
 
 _ENDS = frozenset(".?!।॥")
 _FUNCTION = {canonical(w, "lower"): lang for lang in ("mr", "bn", "en", "hi") for w in FUNCTION_WORDS[lang].split()}
-_FUNCTION |= {canonical(w, "lower"): "hi" for w in FUNCTION_WORDS["hi"].split() if w.isascii() is False and canonical(w, "lower") not in _FUNCTION}
 
 
 def _language(words: list[str]) -> str:
@@ -197,7 +196,7 @@ def features(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **{k: [r[k] for r in rows] for k in names}})
 
     schema = "doc_id bigint, language string, words bigint, " + ", ".join(f"{f} double" for f in FEATURES) + ", spam double"
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(run, schema).where("words > 0")
+    return spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(run, schema).where("words > 0")
 
 
 def _names(i: str, j: str) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanikosh.llm.canon import canonical_column, canonical_series
+from vanikosh.operators.stage import spread
 
 #: A term is rare in fewer records than this, and common in more than this share of all records.
 RARE_BELOW = 3
@@ -90,7 +91,7 @@ def _count_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def text_counts(texts: DataFrame, column: str) -> DataFrame:
     """Partial counts ``term, occurrences, records`` of the terms of a text column; every row with a text is a record."""
-    return texts.select(F.col(column).alias("text")).where("text is not null").mapInPandas(_count_blocks, _PARTIAL)
+    return spread(texts.select(F.col(column).alias("text")).where("text is not null")).mapInPandas(_count_blocks, _PARTIAL)
 
 
 def value_counts(values: DataFrame, column: str, record: str) -> DataFrame:

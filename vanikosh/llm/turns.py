@@ -22,7 +22,7 @@ from vanikosh.llm.canon import canonical_series
 from vanikosh.llm.speech import LineParser
 from vanikosh.operators.intervals import to_ms, usable
 from vanikosh.operators.scans import fill_down, running_sum
-from vanikosh.operators.stage import stage
+from vanikosh.operators.stage import spread, stage
 
 #: Length of a block in milliseconds; the text of a turn that runs over the end of a block comes out in parts.
 BLOCK_MS = 3_600_000
@@ -49,7 +49,7 @@ def parse_segments(segments: DataFrame, fillers: list[str], text: bool) -> DataF
             yield pdf.drop(columns="text").assign(form=forms, pieces=pieces)
 
     cols = "rid string, s bigint, e bigint, speaker_id bigint, seg_id bigint"
-    parsed = segments.select("rid", "s", "e", "speaker_id", "seg_id", "text").mapInPandas(
+    parsed = spread(segments.select("rid", "s", "e", "speaker_id", "seg_id", "text")).mapInPandas(
         lambda it: run(_whole(x) for x in it), cols + ", form string, pieces array<struct<piece:int,ref:string,text:string>>"
     )
     return parsed.withColumn("h1", F.xxhash64("form")).withColumn("h2", F.hash("form")).drop("form").where(F.size("pieces") > 0)
