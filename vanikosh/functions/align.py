@@ -46,6 +46,11 @@ def word_error_rate(ref: Column, hyp: Column) -> Column:
     return F.when(n > 0, token_distance(ref, hyp) / n).otherwise(F.when(F.size(hyp) > 0, 1.0).otherwise(0.0))
 
 
+def utterance_error_rate(ref: Column, hyp: Column) -> Column:
+    """Errors per token of the reference, and 0 for a reference without tokens, whatever was recognised."""
+    return F.when(F.size(ref) > 0, token_distance(ref, hyp) / F.size(ref)).otherwise(0.0)
+
+
 def _codes(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
     names: dict[str, int] = {}
     code = lambda words: np.array([names.setdefault(w, len(names)) for w in words], np.int64)

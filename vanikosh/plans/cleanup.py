@@ -117,35 +117,77 @@ m AS (SELECT seg_id, CAST(position AS INTEGER) AS position, word, token,
        WHEN word IN {in_sql(L.LOANWORDS)} THEN 'known_loanword'
        WHEN regexp_matches(word, '[\\x{{900}}-\\x{{97f}}]') AND length(word) >= 4 AND regexp_matches(word, '^({"|".join(L.ENGLISH_BEGINNINGS)})|[{L.ENGLISH_LETTERS}]') THEN 'phonological' END AS method FROM c),
 g AS (SELECT seg_id, position, word, method, method = 'known_loanword' AND word IN {in_sql(L.NATIVISED)} AS nativised FROM m WHERE method IS NOT NULL)"""
+_IDIOM_SQL = "|".join(
+    [f"({'|'.join(L.IDIOM_HYPHEN[0])})WS*[-–]WS*({'|'.join(L.IDIOM_HYPHEN[1])})"] + [f"({'|'.join(a)})WS+({'|'.join(b)})" for a, b in L.IDIOM_PAIRS]
+).replace("WS", WHITE_SQL)
+#: Texts with their runs of number words rewritten, from the last run to the first; and what became of every run.
+_REWRITTEN = f"""
+v AS (SELECT * FROM (VALUES {_VALUES}) v(word, value)),
+p0 AS (SELECT seg_id, text, string_split_regex(text, '{WHITE_SQL}') AS parts FROM rid_transcription WHERE text IS NOT NULL),
+p1 AS (SELECT seg_id, text, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p0),
+p2 AS (SELECT *, 1 + coalesce(sum(length(part) + 1) OVER (PARTITION BY seg_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM p1),
+p3 AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY i) AS pos FROM p2 WHERE part <> ''),
+p4 AS (SELECT p3.*, value, pos - row_number() OVER (PARTITION BY seg_id ORDER BY pos) AS island FROM p3 JOIN v ON word = part),
+p5 AS (SELECT seg_id, text, min(place) AS s, max(place + length(part)) AS e, list(value ORDER BY pos) AS vs FROM p4 GROUP BY seg_id, text, island),
+p6 AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY s DESC) AS k, list_reduce(list_transform(vs, lambda q: [q]), lambda a, q:
+  CASE WHEN q[1] >= 1000 THEN [a[1] + CASE WHEN a[2] = 0 THEN 1 ELSE a[2] END * q[1], 0]
+       WHEN q[1] = 100 THEN [a[1], CASE WHEN a[2] = 0 THEN 1 ELSE a[2] END * 100] ELSE [a[1], a[2] + q[1]] END, [CAST(0 AS HUGEINT), CAST(0 AS HUGEINT)]) AS r FROM p5),
+p7 AS (SELECT seg_id, text, s, e, k, substr(text, CAST(s AS BIGINT), CAST(e - s AS BIGINT)) AS span, CAST(r[1] + r[2] AS VARCHAR) AS number FROM p6),
+w AS (
+  SELECT seg_id, text, s, k, span, number, substr(text, CAST(e AS BIGINT)) AS after FROM p7 WHERE k = 1
+  UNION ALL
+  SELECT p7.seg_id, p7.text, p7.s, p7.k, p7.span, p7.number, substr(p7.text, CAST(p7.e AS BIGINT), CAST(w.s - p7.e AS BIGINT)) ||
+    CASE WHEN regexp_matches(substr(w.text, CAST(greatest(1, w.s - 10) AS BIGINT), CAST(least(10, w.s - 1) AS BIGINT)) || w.span || left(w.after, 20), '{_IDIOM_SQL}') THEN w.span ELSE w.number END || w.after
+  FROM w JOIN p7 ON p7.seg_id = w.seg_id AND p7.k = w.k + 1),
+y AS (SELECT *, regexp_matches(substr(text, CAST(greatest(1, s - 10) AS BIGINT), CAST(least(10, s - 1) AS BIGINT)) || span || left(after, 20), '{_IDIOM_SQL}') AS kept FROM w),
+z AS (SELECT seg_id, left(text, CAST(s - 1 AS BIGINT)) || CASE WHEN kept THEN span ELSE number END || after AS normed
+      FROM y QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY k DESC) = 1),
+n AS (SELECT t.seg_id, coalesce(z.normed, t.text) AS normed FROM rid_transcription t LEFT JOIN z USING (seg_id) WHERE t.text IS NOT NULL)"""
 _CV, _VV, _SV = f"[{L.CONSONANTS}]", f"[{L.VOWEL_LETTERS}]", f"[{L.VOWEL_SIGNS}]"
 _NASAL, _DIA = L.ANUSVARA + L.CHANDRABINDU, L.ANUSVARA + L.CHANDRABINDU + L.VISARGA + L.NUKTA
 _HAS = lambda p: f"regexp_matches(w, '{p}')"
 _DEVA_SQL = _HAS(r"[\x{900}-\x{97f}]")
 _DECIDED = f"""CASE
-  WHEN w = '' THEN 'incorrect high'
-  WHEN {_HAS('[A-Za-z]')} AND NOT {_DEVA_SQL} THEN 'incorrect high'
-  WHEN {_HAS(chr(92) + 'p{Nd}')} AND NOT {_DEVA_SQL} THEN 'incorrect high'
-  WHEN w IN {in_sql(L.SPELLING_LOANWORDS)} OR contains(w, '{L.LONE_VOWEL}') THEN 'correct high'
-  WHEN length(w) > 35 THEN 'incorrect high'
-  WHEN length(w) = 1 AND (w IN {in_sql(L.VALID_SINGLES)} OR {_HAS(_VV)}) THEN 'correct high'
-  WHEN length(w) = 1 AND {_HAS(_CV)} THEN 'incorrect medium'
-  WHEN length(w) = 1 AND {_HAS(f'[{L.VOWEL_SIGNS}{L.HALANT}{L.AVAGRAHA}{_DIA}]')} THEN 'incorrect high'
-  WHEN length(w) = 1 THEN 'incorrect medium'
-  WHEN {_HAS(chr(91) + '^' + r"\x{900}-\x{97f}0-9''–-]")} THEN 'incorrect high'
+  WHEN w = '' THEN 'incorrect high empty'
+  WHEN {_HAS('[A-Za-z]')} AND NOT {_DEVA_SQL} THEN 'incorrect high latin_script'
+  WHEN {_HAS(chr(92) + 'p{Nd}')} AND NOT {_DEVA_SQL} THEN 'incorrect high digits'
+  WHEN w IN {in_sql(L.SPELLING_LOANWORDS)} THEN 'correct high loanword'
+  WHEN contains(w, '{L.LONE_VOWEL}') THEN 'correct high english_vowel'
+  WHEN length(w) > 35 THEN 'incorrect high too_long'
+  WHEN length(w) = 1 AND (w IN {in_sql(L.VALID_SINGLES)} OR {_HAS(_VV)}) THEN 'correct high single_letter_word'
+  WHEN length(w) = 1 AND {_HAS(_CV)} THEN 'incorrect medium bare_consonant'
+  WHEN length(w) = 1 AND {_HAS(f'[{L.VOWEL_SIGNS}{L.HALANT}{L.AVAGRAHA}{_DIA}]')} THEN 'incorrect high lone_sign'
+  WHEN length(w) = 1 THEN 'incorrect medium unknown_character'
+  WHEN {_HAS(chr(91) + '^' + r"\x{900}-\x{97f}0-9''–-]")} THEN 'incorrect high foreign_character'
   WHEN {_HAS(f'^[{L.VOWEL_SIGNS}{_NASAL}]')} OR {_HAS(f'[{L.VOWEL_SIGNS}{_NASAL}{L.VISARGA}]{_SV}')} OR {_HAS(f'[^{L.CONSONANTS}]{L.HALANT}')} OR suffix(w, '{L.HALANT}')
-    OR contains(w, '{L.ANUSVARA}{L.ANUSVARA}') OR {_HAS(f'{L.VISARGA}[^{L.CONSONANTS}]')} THEN 'incorrect high'
-  WHEN NOT {_HAS(_VV)} AND NOT {_HAS(_SV)} THEN CASE WHEN length(w) <= 3 AND {_HAS(f'^[{L.CONSONANTS}{L.HALANT}{_DIA}]+$')} THEN 'incorrect medium' ELSE 'incorrect high' END
-  WHEN {" OR ".join(f"contains(w, '{c * 3}')" for c in L.CONSONANTS)} THEN 'incorrect high'
-  WHEN length(w) <= 2 AND w IN {in_sql(L.COMMON_SHORT)} THEN 'correct high'
-  WHEN length(w) <= 2 AND ({_HAS(f'^{_CV}{_SV}')} OR {_HAS(f'^{_VV}{_CV}')}) THEN 'correct medium'
-  WHEN length(w) <= 2 OR length(w) >= 18 THEN 'correct low'
-  WHEN {_HAS(f'^({"|".join(L.CLUSTERS)})')} OR {_HAS(chr(92) + 'p{Nd}')} THEN 'correct medium'
-  ELSE 'correct high' END"""
+    OR contains(w, '{L.ANUSVARA}{L.ANUSVARA}') OR {_HAS(f'{L.VISARGA}[^{L.CONSONANTS}]')} THEN 'incorrect high placement'
+  WHEN NOT {_HAS(_VV)} AND NOT {_HAS(_SV)} THEN CASE WHEN length(w) <= 3 AND {_HAS(f'^[{L.CONSONANTS}{L.HALANT}{_DIA}]+$')} THEN 'incorrect medium no_vowel_short' ELSE 'incorrect high no_vowel' END
+  WHEN {" OR ".join(f"contains(w, '{c * 3}')" for c in L.CONSONANTS)} THEN 'incorrect high tripled_consonant'
+  WHEN length(w) <= 2 AND w IN {in_sql(L.COMMON_SHORT)} THEN 'correct high common_short_word'
+  WHEN length(w) <= 2 AND {_HAS(f'^{_CV}{_SV}')} THEN 'correct medium consonant_and_sign'
+  WHEN length(w) <= 2 AND {_HAS(f'^{_VV}{_CV}')} THEN 'correct medium vowel_and_consonant'
+  WHEN length(w) <= 2 THEN 'correct low unusual_short_word'
+  WHEN length(w) >= 18 THEN 'correct low long'
+  WHEN {_HAS(f'^({"|".join(L.CLUSTERS)})')} THEN 'correct medium loan_cluster'
+  WHEN {_HAS(chr(92) + 'p{Nd}')} THEN 'correct medium digits_and_letters'
+  ELSE 'correct high regular' END"""
 _SPELL = f"""
 a AS (SELECT ord, word, classification, coalesce(nfc_normalize(regexp_replace(word, '^{WHITE_SQL}+|{WHITE_SQL}+$', '', 'g')), '') AS w FROM word_result),
-s AS (SELECT *, split_part({_DECIDED}, ' ', 1) AS label, split_part({_DECIDED}, ' ', 2) AS confidence FROM a)"""
+s AS (SELECT *, split_part({_DECIDED}, ' ', 1) AS label, split_part({_DECIDED}, ' ', 2) AS confidence, split_part({_DECIDED}, ' ', 3) AS reason FROM a)"""
 
 SQL = {
+    "number_normalize": f"WITH RECURSIVE {_REWRITTEN} SELECT seg_id, normed FROM n",
+    "number_changes": f"""
+WITH RECURSIVE {_REWRITTEN}
+SELECT span AS original, CASE WHEN kept THEN span ELSE number END AS converted, CASE WHEN kept THEN 'KEPT (idiom/phrase)' ELSE 'CONVERTED' END AS action, count(*) AS n FROM y GROUP BY ALL""",
+    "idiom_kept": f"WITH RECURSIVE {_REWRITTEN} SELECT span AS original, count(*) AS n FROM y WHERE kept GROUP BY ALL",
+    "cleanup_pipeline": f"""
+WITH RECURSIVE {_REWRITTEN}, {_TAGS.replace("text IS NOT NULL", "normed IS NOT NULL").replace(tokens_sql('text'), tokens_sql('normed')).replace("FROM rid_transcription", "FROM n")},
+b AS (SELECT seg_id, string_agg(CASE WHEN method IS NULL THEN token ELSE regexp_extract(token, '^({_MARK}*)', 1) || '[EN]' || word || '[/EN]' || regexp_extract(token, '({_MARK}*)$', 1) END, ' ' ORDER BY position) AS tagged,
+      CAST(count(method) AS INTEGER) AS tags FROM m GROUP BY seg_id),
+q AS (SELECT seg_id, CAST(count(*) AS INTEGER) AS changes FROM y GROUP BY seg_id)
+SELECT n.seg_id, n.normed, coalesce(b.tagged, '') AS tagged, coalesce(q.changes, 0) AS changes, coalesce(b.tags, 0) AS tags
+FROM n LEFT JOIN b USING (seg_id) LEFT JOIN q USING (seg_id)""",
     "num_words_to_int": f"""
 WITH v AS (SELECT * FROM (VALUES {_VALUES}) v(word, value)),
 t AS (SELECT seg_id, {tokens_sql('text')} AS w FROM rid_transcription WHERE text IS NOT NULL),
@@ -164,6 +206,7 @@ WITH {_TAGS}, o AS (SELECT DISTINCT seg_id, position FROM english_word_tag)
 SELECT CASE WHEN o.seg_id IS NULL THEN 'found' WHEN g.seg_id IS NULL THEN 'given' ELSE 'both' END AS side, count(*) AS n
 FROM o FULL JOIN g ON o.seg_id = g.seg_id AND o.position = g.position GROUP BY ALL""",
     "spell_labels": f"WITH {_SPELL} SELECT ord, label, confidence FROM s",
+    "spell_reason_counts": f"WITH {_SPELL} SELECT label, confidence, reason, count(*) AS n FROM s GROUP BY ALL",
     "spell_summary": f"""
 WITH {_SPELL}, d AS (SELECT word, any_value(label) AS label, any_value(confidence) AS confidence FROM s WHERE word IS NOT NULL GROUP BY word)
 SELECT label, confidence, count(*) AS n, CAST(round_even(100.0 * count(*) / (SELECT count(*) FROM d), 4) AS DOUBLE) AS share

@@ -57,7 +57,10 @@ QUERIES = {f.__name__: f for f in (json_csv_roundtrip, lm_corpus_file, replicate
 _RATES = {"Ex1": (0.25, 0.0, 0.5, 0.5, 0.25, 0.25, 0.25, 0.25, 0.0, 0.0), "Ex2": (0.2, 0.0, 0.2, 0.0, 0.2, 0.0, 0.2, 0.0, 0.0, 0.0), "Ex3": (0.0, 0.0, 0.25, 0.0, 0.25, 0.25, 0.25, 0.25, 0.25, 0.25), "Ex4": (0.1667, 0.0, 0.0, 0.0, 0.1667, 0.0, 0.1667, 0.1667, 0.1667, 0.0)}
 _ROWS = ", ".join(f"('{u}', '{m}', CAST({r[2 * i]} AS DOUBLE), CAST({r[2 * i + 1]} AS DOUBLE))" for u, r in _RATES.items() for i, m in enumerate("ABCDE"))
 
+_PAIRS = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(samples.ERROR_PAIRS))
+
 SQL = {
+    "replicated_predictions": f"SELECT i AS id, {norm_sql('a')} AS reference, {norm_sql('b')} AS ft_pred FROM range(350) g(i) JOIN (VALUES {_PAIRS}) v(k, a, b) ON k = i % 20",
     "json_csv_roundtrip": """
 SELECT format, id, coalesce(length(reference), -1) AS reference, coalesce(length(baseline_pred), -1) AS baseline_pred, coalesce(length(ft_pred), -1) AS ft_pred
 FROM predictions, (VALUES ('json'), ('csv'), ('parquet')) v(format)""",

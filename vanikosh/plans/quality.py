@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vanikosh.functions import lexicon
-from vanikosh.functions.align import edit_operations, token_distance, word_error_rate
+from vanikosh.functions.align import edit_operations, token_distance, utterance_error_rate, word_error_rate
 from vanikosh.functions.errors import category, repair, severity, spelling_variants
 from vanikosh.functions.numbers import digit_table, numeric_equivalents
 from vanikosh.functions.text import tokens
@@ -29,6 +29,11 @@ def std_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("id", "model", F.bround("wer", 4).alias("wer"))
 
 
+def utterance_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate that counts an utterance without reference as right."""
+    return tokenized(hypotheses(spark, sf_dir)).select("id", "model", F.bround(utterance_error_rate(F.col("r"), F.col("h")), 4).alias("wer"))
+
+
 def edit_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of edit operations of each hypothesis, from the alignment."""
     return tokenized(hypotheses(spark, sf_dir)).select("id", "model", F.size(edit_operations(F.col("r"), F.col("h"))).cast("bigint").alias("ops"))
@@ -159,11 +164,77 @@ def unfair_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        std_wer, edit_op_counts, corpus_wer_by_lang, corpus_wer_by_run, relative_improvement, wer_severity_counts, stratified_sample, edit_ops, error_taxonomy,
+        std_wer, utterance_wer, edit_op_counts, corpus_wer_by_lang, corpus_wer_by_run, relative_improvement, wer_severity_counts, stratified_sample, edit_ops, error_taxonomy,
         taxonomy_examples, repair_text, repair_delta, repaired_examples, numeric_equiv, position_votes, lattice_bins, lattice_wer, unfair_pairs,
     )
 } | {"spelling_variants": spelling_variants_of_tokens}
 
+
+def _costs_sql(name: str, source: str, same: int, other: int) -> str:
+    """Rows of the table of least costs of all prefixes, gaps at 1."""
+    return f"""
+{name} AS (SELECT k, r, w, 0 AS i, range(0, len(w) + 1) AS cost FROM {source}
+  UNION ALL
+  SELECT k, r, w, i + 1, list_transform(range(1, len(w) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda q:
+    (CASE WHEN q = 1 THEN i + 1 ELSE least(cost[q] + 1, cost[q - 1] + CASE WHEN r[i + 1] = w[q - 1] THEN {same} ELSE {other} END) END) - q)) + j)
+  FROM {name} WHERE i < len(r))"""
+
+
+def _trace_sql(name: str, costs: str, same: int, other: int) -> str:
+    """Steps back through the table, a pair before a missing word before an added one; ``step`` counts from the end."""
+    return f"""
+{name} AS (SELECT k, len(r) AS i, len(w) AS j, 0 AS step, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM {costs} WHERE i = len(r)
+  UNION ALL
+  SELECT k, i - CASE WHEN go = 'I' THEN 0 ELSE 1 END, j - CASE WHEN go = 'D' THEN 0 ELSE 1 END, step + 1, CASE WHEN go <> 'I' THEN r[i] END, CASE WHEN go <> 'D' THEN w[j] END
+  FROM (SELECT {name}.k, {name}.i, {name}.j, {name}.step, c.r, c.w,
+          CASE WHEN {name}.i > 0 AND {name}.j > 0 AND c.cost[{name}.j + 1] = p.cost[{name}.j] + CASE WHEN c.r[{name}.i] = c.w[{name}.j] THEN {same} ELSE {other} END THEN 'S'
+               WHEN {name}.i > 0 AND c.cost[{name}.j + 1] = p.cost[{name}.j + 1] + 1 THEN 'D' ELSE 'I' END AS go
+        FROM {name} JOIN {costs} c ON c.k = {name}.k AND c.i = {name}.i LEFT JOIN {costs} p ON p.k = {name}.k AND p.i = {name}.i - 1
+        WHERE {name}.i + {name}.j > 0))"""
+
+
+_LEFT = lambda n: f"left(ref_w, {n}) = left(hyp_w, {n})"
+_EDITS = f"""{HYPOTHESES_SQL}, f AS (SELECT id AS k, r, w FROM h WHERE model = 'fine_tuned' AND len(r) > 0),
+{_costs_sql('c', 'f', 0, 1)}, {_trace_sql('t', 'c', 0, 1)},
+o AS (SELECT k AS id, step, CASE WHEN a IS NULL THEN 'I' WHEN b IS NULL THEN 'D' ELSE 'S' END AS op, coalesce(a, '') AS ref_w, coalesce(b, '') AS hyp_w FROM t WHERE step > 0 AND a IS DISTINCT FROM b),
+l AS (SELECT *, least(length(ref_w), length(hyp_w)) AS ml FROM o),
+ops AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY step DESC) - 1 AS INTEGER) AS seq, op, ref_w, hyp_w,
+  CASE WHEN (ref_w IN {in_sql(lexicon.COUNT_WORDS)} AND regexp_full_match(hyp_w, '\\p{{Nd}}+')) OR (hyp_w IN {in_sql(lexicon.COUNT_WORDS)} AND regexp_full_match(ref_w, '\\p{{Nd}}+')) THEN 'NUMERIC_MISMATCH'
+       WHEN op = 'I' THEN 'INSERTION' WHEN op = 'D' AND length(ref_w) <= 2 THEN 'DELETION_FUNC' WHEN op = 'D' THEN 'DELETION_CONTENT'
+       WHEN ref_w IN {in_sql(lexicon.POSTPOSITIONS)} OR hyp_w IN {in_sql(lexicon.POSTPOSITIONS)} THEN 'POSTPOSITION_ERROR'
+       WHEN ml >= 3 AND {_LEFT('greatest(2, ml - 2)')} AND ref_w <> hyp_w THEN 'GRAM_INFLECTION'
+       WHEN ml >= 3 AND {_LEFT(3)} AND abs(length(ref_w) - length(hyp_w)) <= 2 THEN 'PHONETIC_CONF'
+       WHEN length(ref_w) >= 4 AND (contains(hyp_w, ref_w) OR contains(ref_w, hyp_w)) THEN 'COMPOUND_SPLIT' ELSE 'OTHER_SUBST' END AS cat FROM l)"""
+_VOTES = f"""{HYPOTHESES_SQL}, f AS (SELECT {{'rid': rid, 'ref': ref, 'model': id || ':' || model}} AS k, r, w FROM h WHERE rid IS NOT NULL),
+{_costs_sql('c', 'f', -1, 1)}, {_trace_sql('t', 'c', -1, 1)},
+a AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY step DESC) - 1 AS pos, coalesce(b, '') AS token FROM t WHERE step > 0 AND a IS NOT NULL),
+votes AS (SELECT k.rid AS rid, k.ref AS ref, pos, token, count(*) AS votes FROM a GROUP BY ALL)"""
+_NUMBERS = ", ".join(f"('{d}', '{w}')" for d, ws in digit_table().items() for w in ws)
+_SHAPES = "[s" + "".join(f", replace(s, chr({a}), chr({b}))" for a, b in ((0x902, 0x901), (0x901, 0x902), (0x93F, 0x940), (0x940, 0x93F), (0x941, 0x942), (0x942, 0x941))) + ", replace(s, chr(2364), '')]"
+_BINS = f"""{_VOTES},
+m AS (SELECT rid, ref, count(*) AS models, any_value(r) AS r FROM h WHERE rid IS NOT NULL GROUP BY rid, ref),
+own AS (SELECT rid, ref, unnest(r) AS s, generate_subscripts(r, 1) - 1 AS pos FROM m),
+named AS (SELECT rid, ref, pos, s, s AS ref_token FROM own
+  UNION ALL SELECT votes.rid, votes.ref, pos, token, NULL FROM votes JOIN m ON m.rid = votes.rid AND m.ref = votes.ref WHERE CAST(votes AS DOUBLE) / models >= 0.6),
+num AS (SELECT * FROM (VALUES {_NUMBERS}) v(digit, word)),
+forms AS (SELECT rid, ref, pos, ref_token, s AS form FROM named
+  UNION SELECT rid, ref, pos, ref_token, digit FROM named JOIN num ON word = s UNION SELECT rid, ref, pos, ref_token, word FROM named JOIN num ON digit = s
+  UNION SELECT rid, ref, pos, ref_token, nfc_normalize(unnest({_SHAPES})) FROM named),
+bins AS (SELECT rid, ref, pos, max(ref_token) AS ref_token, list_sort(list(DISTINCT form)) AS alternatives FROM forms GROUP BY rid, ref, pos)"""
+_RATES = f"""{_BINS},
+lat AS (SELECT rid, ref, list(alternatives ORDER BY pos) AS bins FROM bins GROUP BY rid, ref),
+e0 AS (SELECT h.rid, h.ref, h.id || ':' || h.model AS model, h.r, h.w, coalesce(lat.bins, []) AS bins FROM h LEFT JOIN lat ON lat.rid = h.rid AND lat.ref = h.ref WHERE h.rid IS NOT NULL),
+e1 AS (SELECT rid, ref, model, r, w, bins, 0 AS i, range(0, len(w) + 1) AS cost, range(0, len(w) + 1) AS plain FROM e0
+  UNION ALL
+  SELECT rid, ref, model, r, w, bins, i + 1,
+    list_transform(range(1, len(w) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda q: least(cost[q] + CASE WHEN list_contains(bins[i + 1], '') THEN 0 ELSE 1 END,
+      CASE WHEN q = 1 THEN 1000000 ELSE cost[q - 1] + CASE WHEN list_contains(bins[i + 1], w[q - 1]) THEN 0 ELSE 1 END END) - q)) + j),
+    list_transform(range(1, len(w) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda q: least(plain[q] + 1,
+      CASE WHEN q = 1 THEN 1000000 ELSE plain[q - 1] + CASE WHEN r[i + 1] = w[q - 1] THEN 0 ELSE 1 END END) - q)) + j)
+  FROM e1 WHERE i < len(bins)),
+e2 AS (SELECT rid, ref, model, CAST(round_even(CASE WHEN len(r) > 0 THEN CAST(plain[len(plain)] AS DOUBLE) / len(r) WHEN len(w) > 0 THEN 1.0 ELSE 0.0 END, 4) AS DOUBLE) AS standard_wer,
+         CAST(round_even(CASE WHEN len(bins) > 0 THEN CAST(cost[len(cost)] AS DOUBLE) / greatest(len(bins), len(w)) WHEN len(w) > 0 THEN 1.0 ELSE 0.0 END, 4) AS DOUBLE) AS lattice_wer FROM e1 WHERE i = len(bins))"""
+_MEANINGS = ", ".join(f"('{c}', '{m}')" for c, m in lexicon.CATEGORIES.items())
 _REF = f"t AS (SELECT DISTINCT unnest({tokens_sql('reference')}) AS token FROM predictions)"
 _DIGITS = ", ".join(f"('{d}', '{w}')" for d, ws in digit_table().items() for w in ws)
 _SEVERITY = "CASE WHEN wer <= 0.25 THEN 'mild' WHEN wer <= 0.6 THEN 'moderate' ELSE 'severe' END"
@@ -178,7 +249,21 @@ for _stems, _wrong, _right in lexicon.GOVERNMENT:
     _GOVERN = f"CASE WHEN s IN {in_sql(_stems)} AND w IN {in_sql(_wrong)} THEN '{_right}' ELSE {_GOVERN} END"
 
 SQL = {
+    "edit_ops": f"WITH RECURSIVE {_EDITS} SELECT id, seq, op, ref_w, hyp_w, cat FROM ops",
+    "error_taxonomy": f"""
+WITH RECURSIVE {_EDITS}, g AS (SELECT v.cat, v.meaning, count(ops.cat) AS n FROM (VALUES {_MEANINGS}) v(cat, meaning) LEFT JOIN ops ON ops.cat = v.cat GROUP BY ALL)
+SELECT cat, meaning, n, CASE WHEN sum(n) OVER () > 0 THEN CAST(round_even(100.0 * n / sum(n) OVER (), 4) AS DOUBLE) ELSE 0.0 END AS share FROM g""",
+    "taxonomy_examples": f"""
+WITH RECURSIVE {_EDITS} SELECT cat, CAST(row_number() OVER (PARTITION BY cat ORDER BY id, seq) AS INTEGER) AS place, id, op, ref_w, hyp_w FROM ops
+QUALIFY row_number() OVER (PARTITION BY cat ORDER BY id, seq) <= 4""",
+    "position_votes": f"WITH RECURSIVE {_VOTES} SELECT rid, ref, CAST(pos AS INTEGER) AS pos, token, votes FROM votes",
+    "lattice_bins": f"""
+WITH RECURSIVE {_BINS} SELECT rid, ref, CAST(pos AS INTEGER) AS pos, ref_token, array_to_string(alternatives, '|') AS alternatives,
+  array_to_string(list_filter(alternatives, lambda x: x <> ref_token), '|') AS others FROM bins""",
+    "lattice_wer": f"WITH RECURSIVE {_RATES} SELECT *, lattice_wer < standard_wer AS unfair FROM e2",
+    "unfair_pairs": f"WITH RECURSIVE {_RATES} SELECT split_part(model, ':', 2) AS model, count(*) AS pairs, count(*) FILTER (lattice_wer < standard_wer) AS unfair FROM e2 GROUP BY ALL",
     "std_wer": f"WITH RECURSIVE {DISTANCES_SQL} SELECT id, model, {_R4('wer')} AS wer FROM s",
+    "utterance_wer": f"WITH RECURSIVE {DISTANCES_SQL} SELECT id, model, CASE WHEN n = 0 THEN 0.0 ELSE {_R4('wer')} END AS wer FROM s",
     "edit_op_counts": f"WITH RECURSIVE {DISTANCES_SQL} SELECT id, model, CAST(CASE WHEN n = 0 THEN 0 ELSE errors END AS BIGINT) AS ops FROM s",
     "corpus_wer_by_lang": f"""
 WITH RECURSIVE {DISTANCES_SQL}, l AS (SELECT rid, min(lower(lang)) AS lang FROM manifest WHERE rid IS NOT NULL GROUP BY rid)
@@ -220,3 +305,15 @@ SELECT token, token AS form FROM t UNION SELECT token, digit FROM t JOIN v ON wo
     "spelling_variants": f"WITH {_REF}, d AS (SELECT token FROM t WHERE regexp_full_match(token, '[\\x{{900}}-\\x{{97f}}]+')), f AS ({_FORMS} UNION SELECT token, nfc_normalize(token) FROM d) SELECT DISTINCT token, form FROM f",
 }
 del _suffix, _stems, _wrong, _right
+_REPAIRED = f"""{_EDITS}, rep AS ({SQL['repair_text']}), hit AS (SELECT DISTINCT id, cat FROM ops)"""
+SQL["repair_delta"] = f"""
+WITH RECURSIVE {_REPAIRED},
+f2 AS (SELECT f.k, f.r, {tokens_sql('rep.repaired')} AS w FROM f JOIN rep ON rep.id = f.k), {_costs_sql('c2', 'f2', 0, 1)},
+b AS (SELECT c.k AS id, len(c.r) AS n, c.cost[len(c.cost)] AS b, c2.cost[len(c2.cost)] AS a FROM c JOIN c2 ON c2.k = c.k AND c2.i = len(c2.r) WHERE c.i = len(c.r)),
+g AS (SELECT cat, count(*) AS utterances, sum(n) AS words, sum(b) AS b, sum(a) AS a FROM hit JOIN b USING (id) GROUP BY cat)
+SELECT v.cat, coalesce(utterances, 0) AS utterances, {_R4('100.0 * b / words')} AS before, {_R4('100.0 * a / words')} AS after, {_R4('100.0 * (b - a) / words')} AS delta
+FROM (VALUES {", ".join(f"('{c}')" for c in REPAIRED)}) v(cat) LEFT JOIN g ON g.cat = v.cat"""
+SQL["repaired_examples"] = f"""
+WITH RECURSIVE {_REPAIRED}
+SELECT h.id, h.hyp, rep.repaired FROM (SELECT id, min(CASE WHEN cat = 'GRAM_INFLECTION' THEN 0 ELSE 1 END) AS rank FROM hit WHERE cat IN ('GRAM_INFLECTION', 'POSTPOSITION_ERROR') GROUP BY id) x
+JOIN h ON h.id = x.id AND h.model = 'fine_tuned' JOIN rep ON rep.id = x.id WHERE rep.repaired <> h.hyp ORDER BY rank, h.id LIMIT 4"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vanikosh.functions.codeswitch import cleanup
 from vanikosh.operators.stage import shared_dir
+from vanikosh.plans.cleanup import SQL as cleanup_sql
 
 #: How late a segment may come and still be counted in its window.
 LATENESS = "366 days"
@@ -54,6 +55,7 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"stream_cleanup": stream_cleanup, "stream_arrivals": stream_arrivals}
 
 SQL = {
+    "stream_cleanup": f"SELECT seg_id, tagged, tags FROM ({cleanup_sql['cleanup_pipeline']})",
     "stream_arrivals": """
 SELECT strftime(received_at, '%Y-%m-%d') AS day, count(*) AS segments, count(text) AS texts FROM rid_transcription WHERE received_at IS NOT NULL GROUP BY ALL"""
 }
