@@ -76,7 +76,12 @@ _LINK = regex.compile(
 _MAIL = regex.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
 _TAG = regex.compile(r"(?<!\S)(?:#[\p{L}\p{M}\p{N}_-]+|\[[\p{L}\p{M}\p{N}_ -]{1,40}\])(?=\s|$|[,;.])")
 _PRICE = regex.compile(r"(?:₹|\$|€|£|\b(?:rs|inr|usd)\b\.?|(?<!\S)(?:रु\.?|रुपये|টাকা))\s?\d[\d,.]*|\d[\d,.]*\s?(?:₹|€|\$)", regex.I)
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}_][\p{L}\p{M}\p{N}_'’-]*")
+#: Letters, numbers, and the marks of the scripts around Latin and India.
+_IN = r"\w\u0300-\u036f\u0900-\u0963\u0966-\u0dff"
+_WORD = re.compile(rf"[{_IN}][{_IN}'’-]*")
+#: Without these a text has no link, or no price.
+_MAYBE_LINK = re.compile(r"://|\]\(|\w\.\w|@")
+_MAYBE_PRICE = re.compile(r"[₹$€£]|\b(?:rs|inr|usd)\b|रु|টাকা")
 _SENTENCE = regex.compile(rf"{_LINE}+|(?<=[.?!।॥])\s+")
 _SPEAKER = regex.compile(r"^\s*(?:[\[(<]\s*)?(?:speaker|spk|वक्ता|বক্তা|host|guest|caller|guide|मेज़बान|मेहमान|कॉलर|गाइड)[ _-]?[\dA-H]{0,3}\s*[\])>]?\s*[:>-]", regex.I)
 
@@ -96,11 +101,13 @@ def _language(words: list[str]) -> str:
 def describe(text: str) -> dict:
     """Language, number of words, features and share of spam words of one text."""
     text = canonical(re.sub(r"[\r\n\x0b\x0c\x85  ]+", _LINE, text))
+    text = text.lower()
+    linked, priced = _MAYBE_LINK.search(text), _MAYBE_PRICE.search(text)
     units, body, n_links, n_entries, spoken = [], [], 0, 0, 0
     for part in _SENTENCE.split(text):
         if not part or part.isspace():
             continue
-        links = _LINK.findall(part)
+        links = _LINK.findall(part) if linked else []
         anchors = sum(max(1, len(_WORD.findall(x[: x.index("](")]))) if x[0] == "[" and "](" in x else 1 for x in links)
         rest = _LINK.sub(" ", part) if links else part
         if "@" in rest:
@@ -110,11 +117,12 @@ def describe(text: str) -> dict:
         if "#" in rest or "[" in rest:
             tags = sum(len(_WORD.findall(x)) for x in _TAG.findall(rest) if not (x[0] == "[" and is_note(x[1:-1])))
             rest = _TAG.sub(" ", rest)
-        prices = len(_PRICE.findall(rest))
-        words = [w.lower() for w in _WORD.findall(rest)]
-        body.append([] if _SPEAKER.match(part) else words)
+        prices = len(_PRICE.findall(rest)) if priced else 0
+        words = _WORD.findall(rest)
+        labelled = _SPEAKER.match(part) is not None
+        body.append([] if labelled else words)
         spoken += len(words) if not body[-1] else 0
-        units.append((part, words, anchors, tags, prices))
+        units.append((part, words, anchors, tags, prices, labelled))
         n_links += anchors
         n_entries += tags + (len(words) if prices and len(words) <= 6 * prices else 0)
     said = [w for u in units for w in u[1]]
@@ -162,14 +170,13 @@ def _too_few(function: int, n: int) -> bool:
 def _spam_words(units: list[tuple], keys: set) -> int:
     """Words, links apart, that are no part of sentences. Short lines without an end are judged together with their neighbours."""
     spam = run = few = 0
-    for part, words, anchors, tags, prices in units:
+    for part, words, anchors, tags, prices, labelled in units:
         spam += tags
         n = len(words)
         if not n:
             continue
         function = sum(w in _FUNCTION for w in words)
         listed = (anchors and (n <= 8 or function < n * FEW)) or (prices and n <= 6 * prices)
-        labelled = _SPEAKER.match(part)
         if not listed and keys and not labelled:
             hit = [p in keys for p in zip(words, words[1:])]
             listed = sum(a or b for a, b in zip([*hit, False], [False, *hit])) >= KEY_COVER * n
