@@ -10,11 +10,12 @@ from vanikosh.functions.codeswitch import cleanup, english_tags, is_latin
 from vanikosh.functions.numbers import UNITS, normalize_numbers, words_to_int
 from vanikosh.functions.spelling import classify
 from vanikosh.functions.text import tokens
+from vanikosh.operators.stage import spread
 from vanikosh.plans.tables import WHITE_SQL, in_sql, read, tokens_sql
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "rid_transcription", "seg_id", "text").where("text is not null")
+    return spread(read(spark, sf_dir, "rid_transcription", "seg_id", "text").where("text is not null"))
 
 
 def number_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def cleanup_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spell_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label, confidence and reason of every row."""
-    rows = read(spark, sf_dir, "word_result", "ord", "word")
+    rows = spread(read(spark, sf_dir, "word_result", "ord", "word"))
     return rows.select("ord", "word", classify(F.col("word")).alias("c")).select("ord", "word", "c.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vanikosh.functions import lexicon
-from vanikosh.functions.align import edit_operations, token_distance, utterance_error_rate, word_error_rate
+from vanikosh.functions.align import edit_operations, token_distance, utterance_error_rate
 from vanikosh.functions.errors import category, repair, severity, spelling_variants
 from vanikosh.functions.numbers import digit_table, numeric_equivalents
 from vanikosh.functions.text import tokens
@@ -20,9 +20,14 @@ REPAIRED = ("GRAM_INFLECTION", "POSTPOSITION_ERROR", "PHONETIC_CONF")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hypothesis with its errors, the words of its reference, and its rate."""
+    """Every hypothesis with its errors, the words of its reference, and its rate.
+
+    The distance comes out of a generator, which keeps filters and later columns from working it out again.
+    """
     pairs = tokenized(hypotheses(spark, sf_dir))
-    return pairs.withColumns({"errors": token_distance(F.col("r"), F.col("h")), "n": F.size("r"), "wer": word_error_rate(F.col("r"), F.col("h"))})
+    once = F.inline(F.array(F.struct(token_distance(F.col("r"), F.col("h")).alias("errors"), F.size("r").alias("n"))))
+    rate = F.when(F.col("n") > 0, F.col("errors") / F.col("n")).when(F.col("errors") > 0, 1.0).otherwise(0.0)
+    return pairs.select("id", "rid", "run_id", "model", once).withColumn("wer", rate)
 
 
 def std_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +36,8 @@ def std_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def utterance_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate that counts an utterance without reference as right."""
-    return tokenized(hypotheses(spark, sf_dir)).select("id", "model", F.bround(utterance_error_rate(F.col("r"), F.col("h")), 4).alias("wer"))
+    rate = utterance_error_rate(F.col("r"), F.col("h"))
+    return tokenized(hypotheses(spark, sf_dir)).select("id", "model", F.bround(rate, 4).alias("wer"))
 
 
 def edit_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

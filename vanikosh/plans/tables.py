@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanikosh.functions.text import normalized, tokens
+from vanikosh.operators.stage import spread
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -15,7 +16,7 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, rid, run_id, model, ref, hyp``: one row per scored hypothesis, texts normalised, null texts as ''."""
-    df = read(spark, sf_dir, "predictions", "id", "rid", "run_id", "reference", "baseline_pred", "ft_pred")
+    df = spread(read(spark, sf_dir, "predictions", "id", "rid", "run_id", "reference", "baseline_pred", "ft_pred"))
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("hyp")) for m, c in (("baseline", "baseline_pred"), ("fine_tuned", "ft_pred"))]))
     return df.select("id", "rid", "run_id", "reference", models.alias("m")).select("id", "rid", "run_id", "m.model", normalized(F.col("reference")).alias("ref"), normalized(F.col("m.hyp")).alias("hyp"))
 
