@@ -122,13 +122,15 @@ def canonical(text: str | None, case: str | None = None) -> str | None:
     if text is None:
         return None
     if _is_odd(text):
-        text = _clean(text)
-        if not text.isascii():
+        if text.isascii():
+            text = _clean(text)
+        else:
             if not unicodedata.is_normalized("NFKC", text) or _BICAMERAL_RE.search(text):
                 text = _decompose(text)
+            text = _clean(text)  # before composition, which an invisible character would prevent
             if _LETTERS_RE.search(text):
                 text = _LETTERS_RE.sub(lambda m: LOOKALIKE[m[0]], text)
-            text = _clean(unicodedata.normalize("NFC", text))
+            text = unicodedata.normalize("NFC", text)
             text = _SEQ_RE.sub(lambda m: SEQUENCES[m[0]], text)
         text = text.strip(" ")
         if "|" in text:
