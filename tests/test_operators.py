@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vanikosh.operators import lattice
 from vanikosh.operators.intervals import periods_and_gaps, to_ms, usable
 from vanikosh.operators.scans import fill_down, running_sum
-from vanikosh.operators.stage import stage
+from vanikosh.operators.stage import spread, stage
 from vanikosh.plans import quality
 from vanikosh.sources import samples
 
@@ -109,3 +109,13 @@ def test_cycled_texts(spark):
     rows = samples.cycled(spark, ["क", "abc", "ख"], 7).orderBy("id").collect()
     assert [(r.id, r.text) for r in rows] == [(0, "क"), (2, "ख"), (3, "क"), (5, "ख"), (6, "क")]
     assert all(4 <= r.duration <= 18 for r in rows)
+
+
+def test_spread_moves_only_small_inputs(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=cores + 1)
+    assert spread(few).rdd.getNumPartitions() == cores
+    assert spread(many) is many
+    shuffled = few.groupBy("id").count()
+    assert spread(shuffled) is shuffled
+    assert sorted(r.id for r in spread(few).collect()) == list(range(100))

@@ -21,7 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores: where a small input has fewer partitions than the cluster has cores, its rows are dealt out.
-    For work per row that outweighs moving the row; large inputs have more partitions and stay where they are."""
+    For work per row that outweighs moving the row; large inputs have more partitions and stay where they are, and so do
+    results of a shuffle, whose partitions aren't known before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "AdaptiveSparkPlan" in plan or "Exchange" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
