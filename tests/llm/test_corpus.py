@@ -206,6 +206,12 @@ def test_found(spark, tmp_path):
     assert {r.doc_id for r in spam.p8_found(spark, str(tmp_path)).collect()} == {1000 + i for i in range(len(SPAM))}
 
 
+def test_found_among_few(spark, tmp_path):
+    rows = [(i, f"{PROSE}Number {i} was short.") for i in range(20)] + [(100, SPAM[1]), (101, SPAM[3])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in spam.p8_found(spark, str(tmp_path)).collect()} == {100, 101}
+
+
 def test_nothing_to_describe(spark, tmp_path):
     spark.createDataFrame([(1, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert spam.p8_found(spark, str(tmp_path)).collect() == []

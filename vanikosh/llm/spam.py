@@ -214,11 +214,11 @@ def robust_statistics(described: DataFrame, least: int = 100) -> list[dict]:
     """Per language, and for all as ``*``: medians, scales and the inverse covariance of the cut scores.
 
     All documents take part; what comes to the driver is one row per language.
-    Languages of fewer than ``least`` documents have no statistics of their own.
+    Languages of fewer than ``least`` documents have no statistics of their own; those of all documents always exist.
     """
     both = described.select(F.explode(F.array("language", F.lit("*"))).alias("language"), *FEATURES)
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    medians = {r.language: r for r in both.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[middle(F.col(f)).alias(f) for f in FEATURES]).where(F.col("n") >= least).collect()}
+    medians = {r.language: r for r in both.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[middle(F.col(f)).alias(f) for f in FEATURES]).where((F.col("n") >= least) | (F.col("language") == "*")).collect()}
     if not medians:
         return []
     spark = described.sparkSession
