@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vanikosh.functions.text import normalized, ngrams, tokens
 from vanikosh.operators.intervals import usable
+from vanikosh.operators.scans import running_sum
 from vanikosh.plans.tables import norm_sql, read, recording_languages, tokens_sql
 from vanikosh.sources.readers import SEGMENT_ARRAY, word_list
 
@@ -29,12 +30,21 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "rid_transcription", "seg_id", "text").select("seg_id", normalized(F.col("text")).alias("norm"))
 
 
-def segments_merge(spark: SparkSession, sf_dir: str, part_seconds: int = 3600) -> DataFrame:
-    """The normalised text of each recording, its segments by start and id; a part for each hour, which bounds the rows of a group."""
-    rows = read(spark, sf_dir, "rid_transcription", "seg_id", "rid", "start", "end", "text").where(usable(F.col("start"), F.col("end")) & F.col("text").isNotNull())
-    ordered = F.array_sort(F.collect_list(F.struct("start", "seg_id", "text")))
-    part = F.floor(F.col("start") / part_seconds).alias("part")
-    return rows.groupBy("rid", part).agg(F.count(F.lit(1)).alias("segments"), normalized(F.array_join(F.transform(ordered, lambda s: s["text"]), " ")).alias("text"))
+def segments_merge(spark: SparkSession, sf_dir: str, part_seconds: int = 3600, part_segments: int = 4096) -> DataFrame:
+    """The normalised text of each recording, of all its segments with text: those with usable times by start and id, a part for
+    each hour; then the others by number (null last) and id, ``part_segments`` of them in the last hour's part and in each part
+    after it. So the rows of a group are bounded."""
+    rows = read(spark, sf_dir, "rid_transcription", "seg_id", "rid", "seg_no", "start", "end", "text").where("text is not null").withColumn("recording", F.struct("rid"))  # a struct equals itself even if rid is null
+    timed = usable(F.col("start"), F.col("end"))
+    hours = rows.where(timed).select("recording", F.floor(F.col("start") / part_seconds).alias("part"), F.lit(False).alias("late"), F.col("start").alias("at"), "seg_id", "text")
+    block = F.struct(F.col("seg_no").isNull(), F.floor(F.coalesce(F.col("seg_no").cast("bigint"), "seg_id") / part_segments))
+    numbered = running_sum(rows.where(~timed).withColumn("block", block), ["recording"], "block", ["seg_no", "seg_id"], F.lit(1), "n")
+    part = F.coalesce("last", F.lit(0)) + F.floor((F.col("n") - 1) / part_segments)
+    last = hours.groupBy("recording").agg(F.max("part").alias("last"))
+    others = numbered.join(last, "recording", "left").select("recording", part.alias("part"), F.lit(True).alias("late"), F.col("n").cast("double").alias("at"), "seg_id", "text")
+    ordered = F.array_sort(F.collect_list(F.struct("late", "at", "seg_id", "text")))
+    text = normalized(F.array_join(F.transform(ordered, lambda s: s["text"]), " "))
+    return hours.unionByName(others).groupBy("recording", "part").agg(F.count(F.lit(1)).alias("segments"), text.alias("text")).select("recording.rid", "part", "segments", "text")
 
 
 def segments_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
