@@ -1,6 +1,6 @@
 """Word queries on small tables, against brute force."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from vanikosh.plans import words
 
@@ -29,3 +29,14 @@ def test_segments_merge_keeps_segments_without_usable_times(spark, tmp_path):
         assert {rid: sum(n for _, n, _ in p) for rid, p in parts.items()} == {"a": 11, "long": 5, "none": 2, None: 2}
         assert all(n == len(t.split(" ")) <= size + 2 for p in parts.values() for _, n, t in p)
     assert sorted(parts["long"]) == [(0, 1, "घ"), (2, 4, "ग छ च ज")] and len(parts["a"]) == 1
+
+
+def test_ngrams_of_training_and_validation_texts(spark, tmp_path):
+    train, validation = ["क ख क", "क  ख", None, "", "xyz", "ग घ च छ ज"], ["क ख", None, "ट", "घ च छ ज"]
+    _table(spark, tmp_path, "rid_transcription", [(t,) for t in train], "text string")
+    _table(spark, tmp_path, "predictions", [(t,) for t in validation], "reference string")
+    want = Counter()
+    for text in train + validation:
+        w = [t for t in (text or "").split() if t != "xyz"]
+        want.update((n, " ".join(w[i : i + n])) for n in range(1, 5) for i in range(len(w) - n + 1))
+    assert {(r.n, r.gram): r["count"] for r in words.ngram_counts(spark, str(tmp_path)).collect()} == want

@@ -83,9 +83,8 @@ def _sized(grams, n: int):
 
 
 def ngram_counts(spark: SparkSession, sf_dir: str, most: int = 4) -> DataFrame:
-    """Counts of all runs of 1 to ``most`` tokens of the normalised references."""
-    words = tokens(normalized(F.col("reference")))
-    rows = read(spark, sf_dir, "predictions", "reference").select(words.alias("w"))
+    """Counts of all runs of 1 to ``most`` tokens of the lines of ``lm_corpus``."""
+    rows = lm_corpus(spark, sf_dir).select(tokens(F.col("line")).alias("w"))
     runs = F.flatten(F.array(*[_sized(ngrams(F.col("w"), n), n) for n in range(1, most + 1)]))
     return rows.select(F.explode(runs).alias("g")).groupBy("g.n", "g.gram").agg(F.count(F.lit(1)).alias("count"))
 
