@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 from vanikosh.plans import words
+from vanikosh.sources import readers
 
 NAN, INF = float("nan"), float("inf")
 
@@ -40,3 +41,18 @@ def test_ngrams_of_training_and_validation_texts(spark, tmp_path):
         w = [t for t in (text or "").split() if t != "xyz"]
         want.update((n, " ".join(w[i : i + n])) for n in range(1, 5) for i in range(len(w) - n + 1))
     assert {(r.n, r.gram): r["count"] for r in words.ngram_counts(spark, str(tmp_path)).collect()} == want
+
+
+def test_wordlist_drops_a_header_only_in_front(spark, tmp_path):
+    _table(spark, tmp_path, "word_result", [(1, " "), (2, " Words "), (3, "क"), (4, "word"), (5, "words"), (6, "Words"), (7, "क "), (8, None)], "ord bigint, word string")
+    assert {tuple(r) for r in words.wordlist_dedup(spark, str(tmp_path)).select("word", "ord").collect()} == {("क", 3), ("word", 4), ("words", 5), ("Words", 6)}
+    _table(spark, tmp_path / "plain", "word_result", [(4, "word"), (3, "क")], "ord bigint, word string")
+    assert {r.word for r in words.wordlist_dedup(spark, str(tmp_path / "plain")).collect()} == {"क", "word"}
+    _table(spark, tmp_path / "empty", "word_result", [], "ord bigint, word string")
+    assert words.wordlist_dedup(spark, str(tmp_path / "empty")).count() == 0
+    files = tmp_path / "lists"
+    files.mkdir()
+    (files / "a.csv").write_text("word\nक\nwords\n", encoding="utf8")
+    (files / "b.csv").write_text("unique words\nख\n", encoding="utf8")
+    (files / "c.csv").write_text("ग\nunique_words\n", encoding="utf8")
+    assert {r.word for r in readers.word_file(spark, str(files)).collect()} == {"क", "words", "ख", "ग", "unique_words"}

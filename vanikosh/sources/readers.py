@@ -29,17 +29,20 @@ def manifest(spark: SparkSession, path: str, lang: str | None = "hi") -> DataFra
     return df.where(F.lower(F.trim("lang")) == lang) if lang else df
 
 
-def word_list(words: DataFrame, order: str = "ord", column: str = "word") -> DataFrame:
-    """``word, ord``: distinct words without white space at their ends, each with its first place; blank ones and headers are left out."""
+def word_list(words: DataFrame, order: str = "ord", column: str = "word", *lists: str) -> DataFrame:
+    """``word, ord``: distinct words without white space at their ends, each with its first place; blank ones are left out, and a
+    header if it is the first row that isn't blank (of each list, where columns name several)."""
     word = F.regexp_replace(column, rf"^[{WHITE}]+|[{WHITE}]+$", "")
-    clean = words.select(word.alias("word"), F.col(order).alias("ord")).where((F.col("word") != "") & ~F.lower("word").isin(list(WORD_HEADERS)))
-    return clean.groupBy("word").agg(F.min("ord").alias("ord"))
+    clean = words.select(word.alias("word"), F.col(order).alias("ord"), *lists).where("word <> ''")
+    first = clean.groupBy(*lists).agg(F.min("ord").alias("ord"))  # one row per list
+    header = first.join(clean.where(F.lower("word").isin(list(WORD_HEADERS))), ["ord", *lists], "left_semi")
+    return clean.join(header, ["ord", *lists], "left_anti").groupBy("word").agg(F.min("ord").alias("ord"))
 
 
 def word_file(spark: SparkSession, path: str) -> DataFrame:
-    """The first column of a CSV file as a word list; the place is that of the row in its file and partition."""
-    rows = spark.read.csv(path).select(F.col("_c0").alias("word")).withColumn("ord", F.monotonically_increasing_id())
-    return word_list(rows)
+    """The first column of CSV files as a word list; the place is that of the row in its file and partition."""
+    rows = spark.read.csv(path).select(F.col("_c0").alias("word"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    return word_list(rows, "ord", "word", "file")
 
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
