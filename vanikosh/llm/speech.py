@@ -46,7 +46,7 @@ _ROLE_OF = {canonical(w, "lower"): role for role, words in ROLE_WORDS.items() fo
 _NOTES = {canonical(w, "lower") for w in NOTE_WORDS}
 _OPENED = {" ".join(n.split()[:k]) for n in _NOTES for k in range(1, len(n.split()) + 1)}
 _ALT = lambda words: "|".join(sorted({canonical(w) for w in words}, key=len, reverse=True))
-_NAMED = rf"(?i:(?:{_ALT(SPEAKER_WORDS)})[ _.#-]{{0,2}}\d{{1,3}}|(?:{_ALT(SPEAKER_WORDS)})[ _-]?[a-h]|s\d{{1,3}}|id[ _:#-]{{0,2}}\d+|{_ALT(_ROLE_OF)})"
+_NAMED = rf"(?i:(?:{_ALT(SPEAKER_WORDS)})[ _.#-]{{0,2}}\d{{1,3}}|(?:{_ALT(SPEAKER_WORDS)})(?:[ _-]?[a-rt-z]|[ _-]s)|s\d{{1,3}}|id[ _:#-]{{0,2}}\d+|{_ALT(_ROLE_OF)})"
 _STAMP = "|".join(
     (
         rf"{_OPEN}(?:t\s*=\s*)?{_CLOCK}(?:\s*-->\s*{_CLOCK})?{_CLOSE}",
@@ -59,8 +59,8 @@ _STAMP = "|".join(
 )
 _NAME = "|".join(
     (
-        rf"<v\s+({_NAMED}|[A-H])\s*>",
-        rf"[\[({{]\s*({_NAMED}|[A-H])\s*:?\s*[\])}}]:?",
+        rf"<v\s+({_NAMED}|[A-Z])\s*>",
+        rf"[\[({{]\s*({_NAMED}|[A-Z])\s*:?\s*[\])}}]:?",
         rf"(?<!\S)({_NAMED})\s?(?::|>|[-–—](?!\S))(?!\S)",
         r"(?<!\S)([A-H]) ?[:>](?!\S)",
     )

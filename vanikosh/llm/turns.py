@@ -33,8 +33,11 @@ _ORDER = ["s", "e", "seg_id", "piece"]
 
 
 def filler_terms(fillers: DataFrame, bound: int = 10_000) -> list[str]:
-    """The hesitations of a small fixed table, at most ``bound`` of them."""
-    return [r.term for r in fillers.select("term").where("term is not null").distinct().orderBy("term").limit(bound).collect()]
+    """The hesitations of a small fixed table; more than ``bound`` of them are an error."""
+    terms = [r.term for r in fillers.select("term").where("term is not null").distinct().orderBy("term").limit(bound + 1).collect()]
+    if len(terms) > bound:
+        raise ValueError(f"more than {bound} hesitations")
+    return terms
 
 
 def parse_segments(segments: DataFrame, fillers: list[str], text: bool) -> DataFrame:
