@@ -59,8 +59,8 @@ VOWEL_LETTERS = "अआइईउऊऋऌएऐओऔऄऍऎऑऒ"
 VOWEL_SIGNS = "ािीुूृॄेैोौ"
 HALANT, ANUSVARA, CHANDRABINDU, VISARGA, NUKTA, AVAGRAHA = "्", "ं", "ँ", "ः", "़", "ऽ"
 LONE_VOWEL = "ऑ"
-VALID_SINGLES = "अआइईउऊएऐओऔनव.हयतकस"
-COMMON_SHORT = "का की के को से ने ही तो भी या और हो है था थी थे जो वो इस उस कि जी नो वे आप ओह हा ना रे".split()
+VALID_SINGLES = "अआइईउऊएऐओऔनव।हयतकस"
+COMMON_SHORT = "का की के को से ने ही तो भी या और हो है था थी थे जो वो इस उस कि अब जी नो वे आप ओह हा ना रे".split()
 CLUSTERS = "प्र स्ट ट्र ड्र फ्र ग्र क्र".split()
 LONGEST, LONG = 35, 18
 

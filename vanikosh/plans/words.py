@@ -57,9 +57,14 @@ def segments_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duration_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours and recordings per language label, each recording once with its longest duration."""
-    once = read(spark, sf_dir, "manifest", "rid", "lang", "duration").where("rid is not null").groupBy("rid").agg(F.min(F.lower("lang")).alias("lang"), F.max("duration").alias("duration"))
-    return once.groupBy("lang").agg(F.count(F.lit(1)).alias("recordings"), F.round(F.sum("duration") / 3600, 6).alias("hours"))
+    """Hours, half-up to 6 places, and recordings per language label, each recording once with its longest finite duration.
+
+    Whole microseconds are summed, so that the result doesn't depend on the order of the rows.
+    """
+    micros = F.round(F.col("duration") * 1_000_000).try_cast("bigint")
+    once = read(spark, sf_dir, "manifest", "rid", "lang", "duration").where("rid is not null").groupBy("rid").agg(F.min(F.lower("lang")).alias("lang"), F.max(micros).alias("micros"))
+    hours = F.expr("(sum(micros) + 1800) div 3600") / 1_000_000
+    return once.groupBy("lang").agg(F.count(F.lit(1)).alias("recordings"), hours.alias("hours"))
 
 
 def duration_filter(spark: SparkSession, sf_dir: str, least: float = 0.5, most: float = 30.0) -> DataFrame:
@@ -110,6 +115,7 @@ QUERIES = {
 }
 
 _USABLE = """rid IS NOT NULL AND "start" IS NOT NULL AND "end" IS NOT NULL AND isfinite("start") AND isfinite("end") AND "start" >= 0 AND "end" > "start\""""
+_TIMED = _USABLE.removeprefix("rid IS NOT NULL AND ")
 _TOK = f"t AS (SELECT seg_id, {tokens_sql('text')} AS w FROM rid_transcription WHERE text IS NOT NULL), x AS (SELECT seg_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM t)"
 _BAG = lambda c: f"SELECT DISTINCT unnest({tokens_sql(norm_sql(c))}) AS token FROM predictions"
 
@@ -118,15 +124,21 @@ SQL = {
     "token_freq_topk": f"WITH {_TOK} SELECT token, count(*) AS n FROM x GROUP BY token ORDER BY n DESC, token LIMIT 50",
     "wordlist_dedup": r"""
 WITH w AS (SELECT ord, regexp_replace(word, '^WS+|WS+$', '', 'g') AS word FROM word_result)
-SELECT word, min(ord) AS ord FROM w WHERE word <> '' AND lower(word) NOT IN ('word', 'words', 'unique words', 'unique_words') GROUP BY word""",
+SELECT word, min(ord) AS ord FROM w
+WHERE word <> '' AND NOT (ord = (SELECT min(ord) FROM w WHERE word <> '') AND lower(word) IN ('word', 'words', 'unique words', 'unique_words')) GROUP BY word""",
     "normalize_text": f"SELECT seg_id, {norm_sql('text')} AS norm FROM rid_transcription",
     "segments_merge": f"""
-SELECT rid, CAST(floor("start" / 3600) AS BIGINT) AS part, count(*) AS segments, {norm_sql("string_agg(text, ' ' ORDER BY \"start\", seg_id)")} AS text
-FROM rid_transcription WHERE text IS NOT NULL AND {_USABLE} GROUP BY ALL""",
+WITH a AS (SELECT rid, seg_id, seg_no, "start", text, coalesce({_TIMED}, false) AS timed FROM rid_transcription WHERE text IS NOT NULL),
+h AS (SELECT rid, CAST(floor("start" / 3600) AS BIGINT) AS part, 0 AS late, "start" AS place, seg_id, text FROM a WHERE timed),
+l AS (SELECT rid, max(part) AS part FROM h GROUP BY rid),
+o AS (SELECT a.rid, coalesce(l.part, 0) AS part, row_number() OVER (PARTITION BY a.rid ORDER BY a.seg_no IS NULL, a.seg_no, a.seg_id) AS n, a.seg_id, a.text
+  FROM a LEFT JOIN l ON l.rid IS NOT DISTINCT FROM a.rid WHERE NOT a.timed),
+b AS (SELECT * FROM h UNION ALL SELECT rid, part + (n - 1) // 4096, 1, CAST(n AS DOUBLE), seg_id, text FROM o)
+SELECT rid, part, count(*) AS segments, {norm_sql("string_agg(text, ' ' ORDER BY late, place, seg_id)")} AS text FROM b GROUP BY rid, part""",
     "segments_from_json": """SELECT seg_id, speaker_id, CASE WHEN isnan("start") OR isnan("end") THEN NULL ELSE round("end" - "start", 3) END AS seconds, length(text) AS chars FROM rid_transcription""",
     "duration_hours": """
-WITH o AS (SELECT rid, min(lower(lang)) AS lang, max(duration) AS duration FROM manifest WHERE rid IS NOT NULL GROUP BY rid)
-SELECT lang, count(*) AS recordings, round(sum(duration) / 3600, 6) AS hours FROM o GROUP BY lang""",
+WITH o AS (SELECT rid, min(lower(lang)) AS lang, max(CAST(round(CASE WHEN isfinite(duration) THEN duration END * 1000000) AS BIGINT)) AS micros FROM manifest WHERE rid IS NOT NULL GROUP BY rid)
+SELECT lang, count(*) AS recordings, ((sum(micros) + 1800) // 3600) / 1000000.0 AS hours FROM o GROUP BY lang""",
     "duration_filter": f"""SELECT seg_id, round("end" - "start", 3) AS seconds FROM rid_transcription WHERE {_USABLE} AND "end" - "start" BETWEEN 0.5 AND 30""",
     "hindi_manifest": "SELECT rid FROM manifest WHERE rid IS NOT NULL GROUP BY rid HAVING min(lower(lang)) = 'hi'",
     "lm_corpus": f"""
@@ -134,7 +146,7 @@ WITH p AS (SELECT 0 AS part, 'train' AS source, {norm_sql('text')} AS line FROM
   UNION ALL SELECT 1, 'validation', {norm_sql('reference')} FROM predictions)
 SELECT * FROM p WHERE line <> ''""",
     "ngram_counts": f"""
-WITH w AS (SELECT {tokens_sql(norm_sql('reference'))} AS w FROM predictions),
+WITH w AS (SELECT {tokens_sql(norm_sql('text'))} AS w FROM rid_transcription UNION ALL SELECT {tokens_sql(norm_sql('reference'))} FROM predictions),
 g AS (SELECT CAST(n AS INTEGER) AS n, unnest(list_transform(range(1, greatest(1, len(w) - n + 2)), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM w, (VALUES (1), (2), (3), (4)) v(n))
 SELECT n, gram, count(*) AS count FROM g GROUP BY n, gram""",
     "vocabulary_overlap": f"""
