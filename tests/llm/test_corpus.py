@@ -189,29 +189,77 @@ FAIR = [
 ]
 
 
-@pytest.mark.parametrize("text", SPAM)
-def test_spam_words(text):
-    assert spam.describe(text)["spam"] > 0.5
-
-
-@pytest.mark.parametrize("text", FAIR)
-def test_fair_words(text):
-    assert spam.describe(text)["spam"] <= 0.5
-
-
-def test_found(spark, tmp_path):
-    rows = [(i, f"{PROSE}Number {i} was {'long' if i % 3 else 'short'} and {i * 7} of them came with us to {i % 11}.") for i in range(200)]
-    rows += [(1000 + i, t) for i, t in enumerate(SPAM)] + [(2000 + i, t) for i, t in enumerate(FAIR)] + [(3000, None), (3001, "  ")]
-    spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, language string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id for r in spam.p8_found(spark, str(tmp_path)).collect()} == {1000 + i for i in range(len(SPAM))}
-
-
-def test_found_among_few(spark, tmp_path):
-    rows = [(i, f"{PROSE}Number {i} was short.") for i in range(20)] + [(100, SPAM[1]), (101, SPAM[3])]
-    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id for r in spam.p8_found(spark, str(tmp_path)).collect()} == {100, 101}
+@pytest.fixture(scope="module")
+def found(spark, tmp_path_factory):
+    """Scores of the planted texts among documents of the test tables, by id: 100000 on for spam, 200000 on for others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit("x").alias("language"), F.lit(1).alias("z"))
+    rows = [(100_000 + i, t) for i, t in enumerate(SPAM)] + [(200_000 + i, t) for i, t in enumerate(FAIR)] + [(300_000, None), (300_001, "  "), (300_002, "Zxq")]
+    planted = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, language string, z int")
+    # the language of songs is known from other texts that have it
+    songs = spark.range(40).select((F.col("id") + 50_000).alias("doc_id"), F.concat(F.lit("When the "), "id", F.lit(" boats come home, my love and I look at the sea, and o how we sing with them.")).alias("text"), F.lit("x").alias("language"), F.lit(1).alias("z"))
+    scored = spam.scores(docs.unionByName(songs).unionByName(planted), spark.read.parquet("/root/testdata/sf0.01/lang_samples.parquet"))
+    return {r.doc_id: r for r in scored.where("doc_id >= 100000").collect()}
+
+
+@pytest.mark.parametrize("i", range(len(SPAM)))
+def test_spam_is_found(found, i):
+    assert found[100_000 + i].flagged
+
+
+@pytest.mark.parametrize("i", range(len(FAIR)))
+def test_fair_texts_are_not(found, i):
+    assert 200_000 + i not in found or not found[200_000 + i].flagged
+
+
+def test_distance_and_direction_both_decide(found):
+    assert 300_000 not in found and 300_001 not in found
+    word = found[300_002]  # one unknown word lies in the direction of a list, but not far for its length
+    assert word.toward > 0.5 and word.distance < spam.DISTANCE and not word.flagged
+
+
+def test_features_against_brute_force():
+    rng = random.Random(4)
+    wide = {"the": ("en", 0.9), "of": ("en", 0.5), "is": ("en", 0.1), "है": ("hi", 0.8)}
+    bits = ["the", "of", "is", "है", "mic", "Mic", "price", "7", "https://a.example/x", "(case),", "two-one", "a.b@c.de"]
+    texts = [" ".join(rng.choice(bits[: rng.randint(2, 12)]) for _ in range(rng.randint(0, 40))) for _ in range(150)] + [None, ""]
+    got = spam.Describer(wide, memory=5)
+    got = [got.describe(texts[i : i + 30]) for i in range(0, len(texts), 30)]
+    got = {k: np.concatenate([g[k] for g in got]) for k in got[0]}
+    for i, text in enumerate(texts):
+        tokens = (text or "").split()
+        links = sum("/x" in t or "@" in t for t in tokens)
+        words = [t.strip("(),").lower() for t in tokens if "/x" not in t and "@" not in t and t != "7"]
+        n = max(1, len(words) + links)
+        pairs = list(zip(words, words[1:]))
+        around = defaultdict(set)
+        for p, before, after in zip(pairs, ["", *words], [*words[2:], ""]):
+            if not set(p) <= {"the", "of", "है"}:
+                around[p].add((before, after))
+        keys = {p for p, a in around.items() if len(a) >= 3 and pairs.count(p) >= 0.02 * n}
+        hit = {j + k for j, p in enumerate(pairs) if p in keys for k in (0, 1)}
+        c = Counter(words)
+        entropy = -sum(v / len(words) * np.log(v / len(words)) for v in c.values()) / np.log(len(words)) if len(words) > 1 else 1.0
+        want = {"words": len(words) + links, "function": sum(w in wide for w in words) / n, "density": len(hit) / n, "entropy": entropy, "repetition": (len(pairs) - len(set(pairs))) / n, "links": links / n}
+        for name, value in want.items():
+            assert got[name][i] == pytest.approx(value), (name, text)
+
+
+def test_words_are_learned_from_the_documents(spark):
+    seeds = {"the": ("en", 1.0), "है": ("hi", 1.0)}
+    rows = [(i, f"the river gauge{i}") for i in range(60)] + [(100 + i, f"यह है घर{i}") for i in range(60)] + [(200 + i, "cheap mic offer") for i in range(300)] + [(999, None)]
+    wide = spam.widespread_words(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), seeds)
+    assert {w: lang for w, (lang, _) in wide.items()} == {"the": "en", "river": "en", "यह": "hi", "है": "hi"}
+    assert spam.widespread_words(spark.createDataFrame(rows, "doc_id bigint, text string"), {}) == {}
+
+
+def test_sample_bound(spark):
+    samples = spark.createDataFrame([(1, "en", "a b"), (2, "en", "a c"), (3, "hi", None)], "sample_id bigint, lang string, text string")
+    assert spam.sample_words(samples) == {"a": ("en", 1.0)}
+    with pytest.raises(ValueError):
+        spam.sample_words(samples, max_samples=1)
 
 
 def test_nothing_to_describe(spark, tmp_path):
-    spark.createDataFrame([(1, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert spam.p8_found(spark, str(tmp_path)).collect() == []
+    samples = spark.createDataFrame([], "sample_id bigint, lang string, text string")
+    assert spam.scores(spark.createDataFrame([(1, None)], "doc_id bigint, text string"), samples).collect() == []
+    assert spam.scores(spark.createDataFrame([(1, "some words")], "doc_id bigint, text string"), samples).count() == 1
