@@ -17,6 +17,7 @@ SAME = [
     ("hello world", "ｈｅｌｌｏ　ｗｏｒｌｄ"), ("hello world", f"he{Z}llo world﻿"), ("peace", "реасе"), ("café", "cafe" + chr(0x301)),
     ("आए", "अाए"), ("और", "अौर"), ("ऑफ", "अॉफ"), ("আমি", "অামি"), ("लड" + chr(0x93C) + "का", "ल" + chr(0x95C) + "का"), ("है।", "है|"), ("निःशुल्क", "नि:शुल्क"),
     ("first", "ﬁrst"), ("  a  b ", "a b"), ("x-y", "x‑y"), ("ABC", "АВС"), ("ё", "ë"),
+    ("দুঃখ", "দু:খ"), ("দুঃখ।", "দু:খ|"), ("20।", "20|"), ("खेत।।", "खेत॥"), ("खेत।।", "खेत||"), ("сосна", "cocнa"), ("λόγος", "λ" + "o" + chr(0x301) + "γος"), ("ಅಂತಃಕರಣ", "ಅಂತ:ಕರಣ"),  ("SAD", "ꓢꓮꓓ"),
 ]
 DIFFERENT = [("Each", "each"), ("की", "कि"), ("आवाज", "आवाज़"), ("पाँच", "पांच"), ("नाही", "नाही।"), ("x²", "x2"), ("a", "á"), ("a b", "ab"), ("1", "l"), ("म", "भ"), ("a | b", "a । b")]
 
@@ -31,6 +32,19 @@ def test_different(a, b):
     assert canon.canonical(a) != canon.canonical(b)
 
 
+UNCHANGED = ["१०:३०", "১০:৩০", "сосна", "λόγος", "дом", "খেলা শেষ।", "खेत।।", "a|b", "Հայաստան"]
+
+
+@pytest.mark.parametrize("text", UNCHANGED)
+def test_unchanged(text):
+    assert canon.canonical(text) == unicodedata.normalize("NFC", text)
+
+
+def test_full_folding_is_kept(spark):
+    df = spark.createDataFrame([("ꭰꭱ ꮪ",), ("ᏚA",), ("ẞ",)], "a string")
+    assert [r.x for r in df.select(canon.canonical_column(F.col("a"), True).alias("x")).collect()] == [canon.canonical(t, "fold") for t in ("ꭰꭱ ꮪ", "ᏚA", "ẞ")]
+
+
 def test_edges():
     assert canon.canonical(None) is None
     assert canon.canonical("") == canon.canonical(f" \t{Z}\n") == ""
@@ -68,10 +82,13 @@ def test_pairs(spark):
     forms = ["आए है।", "अाए है।", "आए है|", "Each", "Еach", "each", f"each{Z}", None, "", "  ", Z, "अतः", "अत:"]
     rows = [("t", rng.choice(["g", "h", None]), i, rng.choice(forms)) for i in range(150)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "tbl string, grp string, id bigint, raw string, form string")
-    look = lambda t: canon.canonical(t).translate({0x903: ":", 0x964: "|"})
+    look = lambda t: canon.canonical(t).translate({**{ord(c): ":" for c in canon.VISARGAS}, 0x964: "|"})
     kept = [r for r in rows if r[1] and r[3] and look(r[3])]
     expected = {(a[2], b[2]) for a in kept for b in kept if a[2] < b[2] and a[1] == b[1] and a[3] != b[3] and look(a[3]) == look(b[3])}
     got = [(r.id_a, r.id_b) for r in canon.lookalike_pairs(df).collect()]
     assert len(got) == len(set(got))
     assert set(got) == expected
     assert canon.lookalike_pairs(df.where("false")).collect() == []
+    classes = canon.lookalike_classes(df).collect()
+    assert sum(r.pairs for r in classes) == len(expected) and sum(r.rows for r in classes) == len(kept)
+    assert {(r.grp, r.rows, r.forms) for r in classes} == {(g, len(m), len({r[3] for r in m})) for g in ("g", "h") for k in {look(r[3]) for r in kept} if (m := [r for r in kept if r[1] == g and look(r[3]) == k])}

@@ -1,6 +1,7 @@
 """Problems 3, 6, 7 and 8: terms, tokens, mixtures and spam."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -66,6 +67,16 @@ def test_ids_equal_the_library(tokenizer):
     assert encoder.lengths(texts).tolist() == [len(x) for x in _library(texts)]
 
 
+def test_very_long_words(tokenizer):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(200_000)), "ab" * 300_000, "=" * 500_001]
+    want = _library(texts)
+    for text, ids in zip(texts, want):
+        began = time.perf_counter()
+        assert bpe.Encoder(tokenizer).encode([text]).to_pylist() == [ids]
+        assert time.perf_counter() - began < 20
+
+
 def test_forgetful_encoder_is_exact(tokenizer):
     texts = ["one two three", "three four", "five six seven eight one", None, "nine"]
     encoder = bpe.Encoder(tokenizer, memory=3)

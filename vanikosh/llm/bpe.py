@@ -11,14 +11,17 @@ The tokenizer's file is read on the driver; the executors get its arrays.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from vanikosh.llm.tokentable import portions
 from vanikosh.operators.stage import spread
 
 # --- fixed values: the public pattern of the words, with white space spelled out ------
@@ -26,7 +29,9 @@ from vanikosh.operators.stage import spread
 _WHITE = r"\t-\r \x85\xa0" + "".join("\\u%04x" % c for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 WORDS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
-_NEVER = np.int64(1) << 40
+_NEVER = 1 << 30
+#: Tokens after which a long word is no longer read together with the others.
+STEPS = 64
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -98,7 +103,7 @@ class ByteBpe:
 
     def _merge_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank at which tokens a and b would merge; a huge number if never."""
-        keys = a << 32 | b
+        keys = a << np.int64(32) | b
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
         return np.where(self.pairs[at] == keys, self.rank[self.made[at]], _NEVER)
 
@@ -131,55 +136,92 @@ class ByteBpe:
             end_a[ia], a[ia] = rx[~undo_b], self.right[x[~undo_b]]
         return good
 
+    def _longest(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token that starts at each place and ends by ``ends``, and where it ends."""
+        node, pos = np.zeros(len(at), np.int64), at.copy()
+        best, best_end = np.full(len(at), -1, np.int64), at.copy()
+        walk = np.arange(len(at))
+        while len(walk):
+            walk = walk[pos[walk] < ends[walk]]
+            keys = node[walk] << 8 | data[pos[walk]]
+            i = np.minimum(np.searchsorted(self.edges, keys), len(self.edges) - 1)
+            found = self.edges[i] == keys
+            walk, i = walk[found], i[found]
+            node[walk] = self.nodes[i]
+            pos[walk] += 1
+            token = self.token[node[walk]]
+            hit = token >= 0
+            best[walk[hit]], best_end[walk[hit]] = token[hit], pos[walk[hit]]
+        return best, best_end
+
     def _propose(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest tokens of all words: (word, token) of each, in order."""
+        """Greedy longest tokens of all words: (word, token) of each, in order.
+
+        All words advance together by one token; what is left of long words after
+        ``STEPS`` tokens is tried at every place at once, and its tokens are then followed.
+        """
         at, word = starts.copy(), np.arange(len(starts))
         out_word, out_token, out_step = [], [], []
-        step = 0
-        while len(word):
-            node, pos = np.zeros(len(word), np.int64), at.copy()
-            best, best_end = np.full(len(word), -1, np.int64), at.copy()
-            walk = np.arange(len(word))
-            while len(walk):
-                walk = walk[pos[walk] < ends[word[walk]]]
-                keys = node[walk] << 8 | data[pos[walk]]
-                i = np.minimum(np.searchsorted(self.edges, keys), len(self.edges) - 1)
-                found = self.edges[i] == keys
-                walk, i = walk[found], i[found]
-                node[walk] = self.nodes[i]
-                pos[walk] += 1
-                token = self.token[node[walk]]
-                hit = token >= 0
-                best[walk[hit]], best_end[walk[hit]] = token[hit], pos[walk[hit]]
+        for step in range(STEPS):
+            if not len(word):
+                break
+            best, best_end = self._longest(data, at, ends[word])
             out_word.append(word)
             out_token.append(best)
             out_step.append(np.full(len(word), step))
-            at = best_end
-            more = at < ends[word]
-            word, at = word[more], at[more]
-            step += 1
+            more = best_end < ends[word]
+            word, at = word[more], best_end[more]
+        for w, begin in zip(word.tolist(), at.tolist()):
+            places = np.arange(begin, ends[w])
+            best, best_end = self._longest(data, places, np.full(len(places), ends[w]))
+            after, i, path = (best_end - begin).tolist(), 0, []
+            while i < len(after):
+                path.append(i)
+                i = after[i]
+            out_word.append(np.full(len(path), w))
+            out_token.append(best[path])
+            out_step.append(STEPS + np.arange(len(path)))
         w, t, s = np.concatenate(out_word), np.concatenate(out_token), np.concatenate(out_step)
         order = np.lexsort((s, w))
         return w[order], t[order]
 
+    @cached_property
+    def _made_of(self) -> dict[int, tuple[int, int]]:
+        """Rank and result of each pair that merges."""
+        return dict(zip(self.pairs.tolist(), zip(self.rank[self.made].tolist(), self.made.tolist())))
+
     def _merge_exactly(self, text: bytes) -> list[int]:
-        """The merges one by one, lowest rank and leftmost first."""
-        ids = self.byte_id[np.frombuffer(text, np.uint8)]
-        while len(ids) > 1:
-            ranks = self._merge_of(ids[:-1], ids[1:])
-            low = ranks.min()
-            if low >= _NEVER:
-                break
-            out, i, hits = [], 0, ranks == low
-            while i < len(ids):
-                if i < len(hits) and hits[i]:
-                    out.append(self.made[np.searchsorted(self.pairs, ids[i] << 32 | ids[i + 1])])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = np.array(out)
-        return ids.tolist()
+        """The merges one by one, lowest rank and leftmost first: a heap of pairs over a linked list of tokens, in n log n."""
+        first = self.byte_id[np.frombuffer(text, np.uint8)]
+        n = len(first)
+        rank = self._merge_of(first[:-1], first[1:])
+        live = np.flatnonzero(rank < _NEVER)
+        heap = np.sort(rank[live] << 32 | live).tolist()  # a sorted list is a heap
+        ids, ranks = first.tolist(), [*rank.tolist(), _NEVER]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        made, never, pop, push = self._made_of, (int(_NEVER), -1), heapq.heappop, heapq.heappush
+        while heap:
+            entry = pop(heap)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
+            if ranks[i] != r:
+                continue
+            j = after[i]
+            k = after[j]
+            ids[i] = now = made[ids[i] << 32 | ids[j]][1]
+            ids[j], ranks[j], after[i] = -1, -1, k
+            if k < n:
+                before[k] = i
+                ranks[i] = new = made.get(now << 32 | ids[k], never)[0]
+                if new < _NEVER:
+                    push(heap, new << 32 | i)
+            else:
+                ranks[i] = -1
+            h = before[i]
+            if h >= 0:
+                ranks[h] = new = made.get(ids[h] << 32 | now, never)[0]
+                if new < _NEVER:
+                    push(heap, new << 32 | h)
+        return [x for x in ids if x >= 0]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids of all words one after the other, the number of ids of each, and how many words had to be merged exactly."""
@@ -262,21 +304,6 @@ def _encoder(bpe: ByteBpe) -> Encoder:
     return bpe._encoder
 
 
-#: Characters of text encoded at a time, which bounds the memory of a worker; a longer text is one portion.
-PORTION = 2_000_000
-
-
-def _portions(texts: list[str | None]) -> Iterator[slice]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= PORTION:
-            yield slice(begin, i + 1)
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def encoded(documents: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``ids``: the token ids of each text as it stands; special tokens in a text are ordinary text.
 
@@ -290,7 +317,7 @@ def encoded(documents: DataFrame, path: str | None = None, text: str = "text", k
         encoder = _encoder(shared.value)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            for part in _portions(texts):
+            for part in portions(texts):
                 kept = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, encoder.encode(texts[part])], [*keep, "ids"])
 
@@ -307,7 +334,7 @@ def token_counts(documents: DataFrame, path: str | None = None, text: str = "tex
         encoder = _encoder(shared.value)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            counts = np.concatenate([encoder.lengths(texts[p]) for p in _portions(texts)]) if texts else np.zeros(0, np.int64)
+            counts = np.concatenate([encoder.lengths(texts[p]) for p in portions(texts)]) if texts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64())], [*keep, "n_tokens"])
 
     return rows.mapInArrow(run, f"{fields}, n_tokens bigint")
