@@ -17,7 +17,7 @@ from vanikosh.llm.canon import canonical
 
 def test_terms_against_brute_force(spark):
     rng = random.Random(3)
-    bits = ["Ａbc,", "abc", "(है।", "है", "--", "...", "नि:शुल्क", "café", "x²", None]
+    bits = ["Ａbc,", "abc", "(है।", "है", "--", "...", "नि:शुल्क", "café", "x²", "a\u3000b", "c\u2800d", "e\u00b4f", "\u200b", "क |", None]
     texts = [None if rng.random() < 0.1 else " ".join(x for x in (rng.choice(bits) for _ in range(rng.randint(0, 6))) if x) for _ in range(200)]
     occurrences, records = Counter(), Counter()
     for t in texts:
@@ -27,10 +27,30 @@ def test_terms_against_brute_force(spark):
             records.update(set(said))
     df = spark.createDataFrame([(t, 1) for t in texts], "text string, term int").repartition(5)
     partial = terms.text_counts(df, "text").withColumn("field", F.lit("f"))
-    got = terms.sum_by_range(partial, "field", 7).collect()
+    got = terms.sum_by_range(partial, "field").collect()
     assert {r.term: (r.occurrences, r.records) for r in got} == {t: (occurrences[t], records[t]) for t in occurrences}
     assert len({r.term_id for r in got}) == len(got) == len(occurrences)
-    assert terms.sum_by_range(partial.where("false"), "field", 7).collect() == []
+    assert terms.sum_by_range(partial.where("false"), "field").collect() == []
+
+
+def test_identifiers_depend_on_terms_only(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("fgh"), f"t{rng.randint(0, 3000)}", 1, 1) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, "field string, term string, occurrences bigint, records bigint")
+    seen = []
+    for parts, batch in ((1, 10_000), (7, 64), (3, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        got = terms.sum_by_range(df.limit(30_000 if batch > 1 else 400).repartition(parts), "field").collect()
+        want = Counter(r[:2] for r in rows[: 30_000 if batch > 1 else 400])
+        assert {(r.field, r.term): r.occurrences for r in got} == want and len(got) == len(want)
+        seen.append({(r.field, r.term): r.term_id for r in got})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1]
+    for ids in seen:
+        for field in "fgh":
+            own = sorted(i for (f, _), i in ids.items() if f == field)
+            assert len(set(own)) == len(own)
+            assert all(i & 0xFFFFFFFF == 0 or i - 1 in set(own) for i in own)  # places of a range follow each other
 
 
 def test_values_count_sheets(spark):

@@ -68,6 +68,13 @@ class TokenTable:
         self.flat = np.concatenate([self.flat, np.array(flat, np.int64)])
         self.sizes, self.extra = np.concatenate([self.sizes, size]), np.concatenate([self.extra, np.array(extra, np.int64)])
 
+    def numbers_of(self, values: list[str]) -> np.ndarray:
+        """The numbers of the words of whole values, each of which is one token and one word."""
+        new = list(dict.fromkeys(v for v in values if v not in self.tokens))
+        if new:
+            self._learn(new)
+        return self.flat[self.starts[np.fromiter(map(self.tokens.__getitem__, values), np.int64, len(values))]]
+
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all words of the texts in order the number of the text and of the word; and per text the sum of the second counts."""
         split = [t.split() if t else [] for t in texts]
