@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from vanikosh.llm.canon import canonical
+from vanikosh.llm.canon import VISARGAS, canonical
 
 # --- fixed values: words of the layouts ---------------------------------------
 
@@ -61,7 +61,7 @@ _NAME = "|".join(
     (
         rf"<v\s+({_NAMED}|[A-Z])\s*>",
         rf"[\[({{]\s*({_NAMED}|[A-Z])\s*:?\s*[\])}}]:?",
-        rf"(?<!\S)({_NAMED})\s?(?::|>|[-–—](?!\S))(?!\S)",
+        rf"(?<!\S)({_NAMED})(?:\s?(?::|>|[-–—](?!\S))(?!\S)|:(?![\d/])|[{VISARGAS}](?=\w))",  # a colon before a letter of the same script has become a visarga
         r"(?<!\S)([A-H]) ?[:>](?!\S)",
     )
 )
@@ -70,7 +70,7 @@ _NOTE = (
     rf"|(?:[\[{{<]|\((?![^()]*\)))(?i:{_ALT(_OPENED)})(?:\s\d+s)?(?![^\s.,;!?।])"  # left open
 )
 _ITEM = re.compile(rf"(?P<stamp>{_STAMP})|(?P<name>{_NAME})|(?P<note>{_NOTE})|(?P<round>\([^()\[\]{{}}<>*♪]*\))")
-_MARKED = re.compile(r"[\[{(<*♪@>:]|[-–—](?:\s|$)")
+_MARKED = re.compile(rf"[\[{{(<*♪@>:]|[-–—](?:\s|$)|(?:{_ALT([*SPEAKER_WORDS, *_ROLE_OF])})[{VISARGAS}]")
 _NOTE_TAIL = re.compile(r"(?:\s*\d+(?:\.\d+)?\s*s)?\s*/?$")
 _EDGE = "।॥|!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~…–—‘’“”«»•·♪→¿¡"
 _RUN = re.compile(r"(.)\1+")
