@@ -133,33 +133,40 @@ def test_ids_of_a_table(spark):
 # --- mixture --------------------------------------------------------------------------
 
 
-def _mixture(spark, docs, targets):
-    sized = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint").withColumn("rank", F.xxhash64("doc_id")).withColumn("bucket", F.shiftright("rank", 60))
+def _mixture(spark, docs, targets, block_tokens=64):
+    sized = mix.placed(spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "row bigint, doc_id bigint, source string, n_tokens bigint"))
     plan = mix.source_plan(sized, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"))
-    return mix.usage(sized, plan), plan
+    passes = mix.passes(sized, plan)
+    return sized, plan, passes, mix.drawn_pieces(passes, plan, block_tokens, shard_blocks=50)
 
 
 def test_mixture(spark):
     rng = random.Random(6)
     docs = [(i, rng.choice(["big"] * 6 + ["mid", "mid", "small", None, "other"]), rng.randint(0, 400)) for i in range(600)]
     targets = [("big", 0.5, 1), ("mid", 0.3, 4), ("small", 0.15, 1), ("none", 0.05, 3)]
-    used, plan = _mixture(spark, docs, targets)
-    rows = {r.doc_id: r for r in used.collect()}
+    sized, plan, passes, drawn = _mixture(spark, docs, targets)
+    rows = {r.doc_id: r for r in mix.usage(sized, drawn).collect()}
     total = sum(n for _, _, n in docs)
     assert len(rows) == len(docs)
     for source, share, most in targets:
-        own = [r for r in rows.values() if r.source == source]
+        own = [r for r in rows.values() if r.source == source and r.n_tokens]
         size, given = sum(r.n_tokens for r in own), sum(r.n_tokens * r.times for r in own)
+        wanted = min(share * total, size * most)
         assert max((r.times for r in own), default=0) <= most
-        assert abs(given - min(share * total, size * most)) <= 200  # half of the largest document
+        assert wanted - 0.001 * total <= given <= wanted
         if own:
-            assert max(r.times for r in own) - min(r.times for r in own) <= 1
-    assert all(r.times == 0 for r in rows.values() if r.source in (None, "other"))
-    table = {r.source: r for r in mix.shares(used, plan, spark).collect()}
+            least = min(r.times for r in own)
+            assert max(r.times for r in own) - least <= 1
+            fits = [r.n_tokens for r in own if r.times == least and r.times < most]
+            assert size * most <= share * total or not fits or min(fits) > share * total - given  # nothing more would fit
+    assert all(r.times == 0 for r in rows.values() if r.source in (None, "other") or not r.n_tokens)
+    table = {r.source: r for r in mix.shares(drawn, plan).collect()}
     assert table["none"].tokens == 0 and table["none"].short and table["small"].short
-    assert table["big"].actual_share == pytest.approx(0.5, abs=0.002)
+    assert table["big"].actual_share == pytest.approx(0.5, abs=0.001)
+    assert all(t.tokens == sum(r.n_tokens * r.times for r in rows.values() if r.source == s) for s, t in table.items())
+    assert all(t.max_times == max((r.times for r in rows.values() if r.source == s), default=0) for s, t in table.items())
 
-    pieces, blocks = mix.packed(used, plan, block_tokens=64)
+    pieces, blocks = mix.packed(passes, plan, block_tokens=64)
     cut = defaultdict(list)
     tokens = Counter()
     for r in pieces.collect():
@@ -176,15 +183,39 @@ def test_mixture(spark):
     assert all(n == 50 for s, n in sizes.items() if s < max(sizes))
 
 
+def test_blocks_hold_the_tokens(spark, tmp_path):
+    rng = random.Random(12)
+    docs = [(i % 70, "ab"[i % 2], " ".join(rng.choice(["one", "two", "three", "आए"]) for _ in range(rng.randint(0, 60)))) for i in range(80)]  # ids come again
+    spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, source string, text string, x int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    ids = dict(zip([(d[0], d[2]) for d in docs], _library([d[2] for d in docs])))
+    rows = mix.p7_blocks(spark, str(tmp_path)).collect()
+    said = Counter()
+    for r in rows:
+        assert len(r.ids) == sum(p.n_tokens for p in r.pieces) <= mix.BLOCK_TOKENS
+        at = 0
+        for p in r.pieces:
+            part = r.ids[at : at + p.n_tokens]
+            assert any(list(part) == v[p.first_token : p.first_token + p.n_tokens] for (d, _), v in ids.items() if d == p.doc_id)
+            at += p.n_tokens
+            said[p.doc_id] += p.n_tokens
+    used = mix.p7_usage(spark, str(tmp_path)).collect()
+    assert len(used) == len(docs)
+    want = Counter()
+    for r in used:
+        want[r.doc_id] += r.n_tokens * r.times
+    assert +said == +want
+
+
 def test_mixture_edges(spark):
-    used, plan = _mixture(spark, [(1, "a", 5), (2, "b", 0), (3, None, 4)], [("a", 0.9, None), ("a", 0.1, 2), ("b", None, 1), (None, 0.1, 1)])
+    sized, plan, _, drawn = _mixture(spark, [(1, "a", 5), (2, "b", 0), (3, None, 4)], [("a", 0.9, None), ("a", 0.1, 2), ("b", None, 1), (None, 0.1, 1)])
     assert {p["source"] for p in plan} == {"a", "b"}
-    assert {r.doc_id: r.times for r in used.collect()}.keys() == {1, 2, 3}
-    used, plan = _mixture(spark, [], [("a", 1.0, 1)])
-    assert used.collect() == [] and mix.shares(used, plan, spark).first().tokens == 0
+    assert {r.doc_id: r.times for r in mix.usage(sized, drawn).collect()} == {1: 1, 2: 0, 3: 0}
+    sized, plan, _, drawn = _mixture(spark, [], [("a", 1.0, 1)])
+    assert mix.usage(sized, drawn).collect() == [] and mix.shares(drawn, plan).first().tokens == 0
     assert mix.slots(spark, []).collect() == []
-    used, plan = _mixture(spark, [(1, "a", 5)], [])
-    assert [r.times for r in used.collect()] == [0]
+    sized, plan, _, drawn = _mixture(spark, [(1, "a", 5)], [])
+    assert [r.times for r in mix.usage(sized, drawn).collect()] == [0]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4096, 5001])
@@ -192,14 +223,21 @@ def test_permutation(n):
     assert sorted(mix.permute(np.arange(n), n, 7).tolist()) == list(range(n))
 
 
-def test_draws_add_up():
+@pytest.mark.parametrize("volume", [5, 500_000])
+def test_draws_add_up(volume):
     counts = np.array([5000, 0, 17, 800])
-    parts = [mix.shard_counts(counts, s, 12, 500, 3) for s in range(12)]
+    parts = [mix.shard_counts(counts, s, 12, 500, 3, volume) for s in range(12)]
     assert sum(p[0] for p in parts).tolist() == counts.tolist()
     assert all((b == sum((p[0] for p in parts[:i]), np.zeros(4, int))).all() for i, (_, b) in enumerate(parts))
+    assert all(p[0].sum() == 500 for p in parts[:-1]) and min(p[0].min() for p in parts) >= 0
+
+
+def test_draws_of_any_size():
     big = np.array([3_000_000_000, 5, 1_000_000_000])
-    out = mix.split_counts(big, 2_000_000_000, np.random.default_rng(1))
-    assert out.sum() == 2_000_000_000 and (out >= 0).all() and (out <= big).all()
+    shards = -(-int(big.sum()) // 1024)
+    parts = [mix.shard_counts(big, s, shards, 1024, 1) for s in (0, 1, 499_999, 500_000, shards - 2)]
+    assert all(p[0].sum() == 1024 and p[0].min() >= 0 for p in parts)
+    assert (parts[0][0] + parts[0][1] == parts[1][1]).all() and (parts[2][0] + parts[2][1] == parts[3][1]).all()
 
 
 # --- spam -----------------------------------------------------------------------------

@@ -4,16 +4,18 @@ The total is the tokens of all documents; a source's budget is its share of it,
 what its documents give when each is used as often as allowed, if that is less.
 Documents lie in pseudorandom order in their source. As many whole passes over the
 source are taken as fit its budget; a last pass takes documents from the front
-while they fit the rest, and later ones that fit what is left. The passes are packed
-into blocks of a fixed number of tokens. Each output shard has a fixed number of
-slots; how many of them go to each source is a multinomial draw without replacement,
-so that the shards use up exactly the blocks there are. It is drawn by halving: the
-counts of any shard follow from draws seeded by its place in a binary tree, so that
-all tasks draw alike and none needs the others. The slots of a source are numbered
-over the shards, and a pseudorandom permutation of its block numbers maps slots to
-blocks, which are joined by number.
+while they fit the rest, and then later ones until no unused document fits what is left.
+The passes are packed into blocks of a fixed number of tokens. Each output shard has
+a fixed number of slots; how many of them go to each source is a multinomial draw,
+conditioned on each source's blocks being used up: given the totals, that is a draw
+without replacement. It is drawn by halving: the counts of any shard follow from draws
+seeded by its place in a binary tree, so that all tasks draw alike and none needs the
+others. The slots of a source are numbered over the shards, and a pseudorandom
+permutation of its block numbers maps slots to blocks, which are joined by number.
+How often a document is used, and what each source gives, is counted in the blocks drawn.
 
 Prefix sums run over hash buckets, so that a source of any size is spread over tasks.
+Shards are drawn in volumes of ``VOLUME_SHARDS``, each with its proportion of every source.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vanikosh.llm.bpe import token_counts
+from vanikosh.llm.bpe import encoded, token_counts
 from vanikosh.operators.scans import running_sum
 from vanikosh.operators.stage import stage
 
 BLOCK_TOKENS = 2048
 SHARD_BLOCKS = 1024
+#: Shards of a volume: half a thousand million blocks, which the exact draw can handle.
+VOLUME_SHARDS = 500_000
 SEED = 20_240
 #: Hash buckets of a source; each is ordered in one task.
 BUCKETS = 4096
@@ -38,11 +42,19 @@ BUCKETS = 4096
 MAX_SOURCES = 100_000
 
 
-def sized_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, source, n_tokens``, with places (``bucket``, ``rank``) in the source's pseudorandom order, staged."""
-    sized = token_counts(documents, path, keep=("doc_id", "source"))
+def sized_documents(documents: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
+    """``row, doc_id, source, n_tokens`` (and ``ids``), with places (``bucket``, ``rank``) in the source's pseudorandom order, staged.
+
+    ``row`` numbers the rows, so that documents that come again under one ``doc_id`` stay apart.
+    """
+    keep = ("doc_id", "source")
+    sized = encoded(documents, path, keep=keep).withColumn("n_tokens", F.size("ids").cast("bigint")) if ids else token_counts(documents, path, keep=keep)
+    return placed(stage(sized.withColumn("row", F.monotonically_increasing_id()), "p7-sizes"))
+
+
+def placed(sized: DataFrame) -> DataFrame:
     rank = F.xxhash64("doc_id", F.lit(SEED))
-    return stage(sized.select("doc_id", "source", "n_tokens", F.shiftright(rank, 52).alias("bucket"), rank.alias("rank")), "p7-sizes")
+    return sized.withColumn("bucket", F.shiftright(rank, 64 - BUCKETS.bit_length() + 1)).withColumn("rank", rank)
 
 
 def source_plan(sized: DataFrame, targets: DataFrame) -> list[dict]:
@@ -50,7 +62,7 @@ def source_plan(sized: DataFrame, targets: DataFrame) -> list[dict]:
 
     A null share counts as 0 and a null ``max_repeats`` as 1; of repeated sources the first by share is taken.
     """
-    wanted = targets.where("source is not null").select("source", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce(F.greatest("max_repeats", F.lit(0)), F.lit(1)).alias("most"))
+    wanted = targets.where("source is not null").select("source", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("most"))
     wanted = wanted.groupBy("source").agg(F.max(F.struct("share", "most")).alias("w")).select("source", "w.*").limit(MAX_SOURCES + 1).collect()
     if len(wanted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -69,42 +81,39 @@ def source_plan(sized: DataFrame, targets: DataFrame) -> list[dict]:
 _PLAN = "source string, share double, most int, size bigint, docs bigint, budget double, passes int, rest double, total bigint"
 
 
-def usage(sized: DataFrame, plan: list[dict], rounds: int = 2) -> DataFrame:
-    """``doc_id, source, n_tokens, times`` of every document; one of no wanted source is used 0 times.
-
-    Also ``passes`` and ``last`` (whether the last pass has the document), and the
-    numbers of the source's tokens in front of it in a whole (``at``) and in the last
-    pass (``at_last``).
-    """
+def passes(sized: DataFrame, plan: list[dict]) -> DataFrame:
+    """``row, doc_id, source, n_tokens`` of the documents of wanted sources that have tokens, staged, with the number of whole passes
+    (``passes``), whether the last pass has the document (``last``), and the numbers of the source's tokens in front of it in a
+    whole (``at``) and in the last pass (``at_last``)."""
     spark = sized.sparkSession
-    order = ["rank", "doc_id"]
+    order = ["rank", "row"]
     small = F.broadcast(spark.createDataFrame(_rows(plan), _PLAN).select("source", "passes", "rest"))  # at most MAX_SOURCES rows
-    named = running_sum(sized.join(small, "source"), ["source"], "bucket", order, F.col("n_tokens"), "upto")
+    rows = sized.where("n_tokens > 0").select("row", "doc_id", "source", "n_tokens", "bucket", "rank")
+    named = running_sum(rows.join(small, "source"), ["source"], "bucket", order, F.col("n_tokens"), "upto")
     named = stage(named.withColumn("last", (F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))), "p7-pass")
-    for _ in range(rounds):
-        gap = named.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("last"), F.col("n_tokens")).otherwise(0))).alias("gap"))
-        fits = ~F.col("last") & (F.col("n_tokens") > 0) & (F.col("n_tokens") <= F.col("gap"))
-        tried = running_sum(named.join(F.broadcast(gap), "source"), ["source"], "bucket", order, F.when(fits, F.col("n_tokens")).otherwise(0), "more")
-        named = stage(tried.withColumn("last", F.col("last") | (fits & (F.col("more") <= F.col("gap")))).drop("gap", "more"), "p7-pass")
+    while True:
+        # a row per wanted source: what is left of its last pass, and the least document not in it
+        left = named.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("last"), F.col("n_tokens")).otherwise(0))).alias("gap"), F.min(F.when(~F.col("last"), F.col("n_tokens"))).alias("least"))
+        gaps = [(r.source, r.gap) for r in left.where("least <= gap").collect()]
+        if not gaps:
+            break
+        gap = F.broadcast(spark.createDataFrame(gaps, "source string, gap double"))
+        fits = named.join(gap, "source").where(~F.col("last") & (F.col("n_tokens") <= F.col("gap")))
+        more = running_sum(fits, ["source"], "bucket", order, F.col("n_tokens"), "more").where("more <= gap").select("row", F.lit(True).alias("more"))
+        named = stage(named.join(more, "row", "left").withColumn("last", F.col("last") | F.coalesce("more", F.lit(False))).drop("more"), "p7-pass")
     taken = F.when(F.col("last"), F.col("n_tokens")).otherwise(0)
-    placed = running_sum(named, ["source"], "bucket", order, taken, "upto_last")
-    used = placed.select(
-        "doc_id", "source", "n_tokens", (F.col("passes") + F.col("last").cast("int")).alias("times"), "passes", "last",
-        (F.col("upto") - F.col("n_tokens")).alias("at"), (F.col("upto_last") - taken).alias("at_last"),
-    )
-    zero, no = F.lit(0), F.lit(0).cast("bigint")
-    unused = sized.join(small, "source", "left_anti").select("doc_id", "source", "n_tokens", zero.alias("times"), zero.alias("passes"), F.lit(False).alias("last"), no.alias("at"), no.alias("at_last"))
-    return used.unionByName(unused)
+    out = running_sum(named, ["source"], "bucket", order, taken, "upto_last")
+    return stage(out.select("row", "doc_id", "source", "n_tokens", "passes", "last", (F.col("upto") - F.col("n_tokens")).alias("at"), (F.col("upto_last") - taken).alias("at_last")), "p7-pass")
 
 
 def _rows(plan: list[dict]) -> list[tuple]:
     return [tuple(p[c.split(" ")[0]] for c in _PLAN.split(", ")) for p in plan]
 
 
-def shares(used: DataFrame, plan: list[dict], spark: SparkSession) -> DataFrame:
-    """Per wanted source its target and what it gives: ``actual_share`` of the total of all documents, and ``mix_share`` of the mixture."""
-    planned = spark.createDataFrame(_rows(plan), _PLAN)
-    given = used.where("source is not null").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("given"), F.max("times").alias("max_times"))
+def shares(drawn: DataFrame, plan: list[dict]) -> DataFrame:
+    """Per wanted source its target and what the blocks drawn give: ``actual_share`` of the total of all documents, and ``mix_share`` of the mixture."""
+    planned = drawn.sparkSession.createDataFrame(_rows(plan), _PLAN)
+    given = drawn.groupBy("source", "row").agg(F.sum("n_tokens").alias("n"), F.countDistinct("pass").alias("times")).groupBy("source").agg(F.sum("n").alias("given"), F.max("times").alias("max_times"))
     out = planned.join(given, "source", "left").withColumn("given", F.coalesce("given", F.lit(0)))
     share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
     whole = F.sum("given").over(Window.partitionBy())  # one row per source
@@ -134,26 +143,30 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def split_counts(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of ``take`` blocks drawn without replacement come from each source of ``counts`` blocks."""
-    if counts.sum() < 1_000_000_000:
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    out, left, rest = np.zeros_like(counts), int(counts.sum()), take  # the normal limit, which the exact method doesn't reach
-    for i, k in enumerate(counts.tolist()):
-        mean = rest * k / left if left else 0.0
-        sd = (mean * (1 - k / left) * (left - rest) / max(1, left - 1)) ** 0.5 if left else 0.0
-        out[i] = min(max(round(rng.normal(mean, sd)), rest - (left - k), 0), rest, k)
-        left, rest = left - k, rest - int(out[i])
-    return out
+def volume_counts(counts: np.ndarray, blocks: int) -> list[np.ndarray]:
+    """The blocks of each source in every volume of ``blocks`` blocks, in proportion to what is left."""
+    left, out = counts.copy(), []
+    while left.sum() > blocks:
+        exact = [(int(n) * blocks, int(left.sum())) for n in left]
+        take = np.array([a // b for a, b in exact], np.int64)
+        over = sorted(range(len(left)), key=lambda i: (-(exact[i][0] % exact[i][1]), i))[: blocks - int(take.sum())]
+        take[over] += 1
+        out.append(take)
+        left = left - take
+    return [*out, left]
 
 
-def shard_counts(counts: np.ndarray, shard: int, shards: int, shard_blocks: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_counts(counts: np.ndarray, shard: int, shards: int, shard_blocks: int, seed: int, volume_shards: int = VOLUME_SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """Blocks of each source in a shard, and in all shards before it."""
-    low, high, before = 0, shards, np.zeros_like(counts)
+    volumes = volume_counts(counts, volume_shards * shard_blocks)
+    volume, shard = divmod(shard, volume_shards)
+    before, counts = sum(volumes[:volume], np.zeros_like(counts)), volumes[volume]
+    low, high = 0, min(volume_shards, shards - volume * volume_shards)
     total = int(counts.sum())
     while high - low > 1:
         mid = (low + high) // 2
-        left = split_counts(counts, min(mid * shard_blocks, total) - low * shard_blocks, np.random.default_rng((seed, low, high)))
+        draw = np.random.default_rng((seed, volume, low, high))
+        left = draw.multivariate_hypergeometric(counts, min(mid * shard_blocks, total) - low * shard_blocks, method="marginals")
         if shard < mid:
             counts, high = left, mid
         else:
@@ -183,44 +196,66 @@ def packed(used: DataFrame, plan: list[dict], block_tokens: int = BLOCK_TOKENS)
     """The pieces of documents in every block, and the number of blocks of each source.
 
     The passes over a source follow each other without a gap, so only its last block
-    can be short. Rows: ``source, block, offset, doc_id, pass, first_token, n_tokens``.
+    can be short. Rows: ``source, block, offset, row, doc_id, pass, first_token, n_tokens``.
     """
     spark = used.sparkSession
-    ends = {r.source: r.n for r in used.where("source is not null and times > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("n")).collect()}  # a row per wanted source
+    times = F.col("passes") + F.col("last").cast("int")
+    ends = {r.source: r.n for r in used.groupBy("source").agg(F.sum(F.col("n_tokens") * times).alias("n")).collect()}  # a row per wanted source
     sizes = F.broadcast(spark.createDataFrame([(p["source"], p["size"]) for p in plan], "source string, pass_tokens long"))
-    each = used.where("times > 0 and n_tokens > 0").join(sizes, "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    each = used.where(times > 0).join(sizes, "source").withColumn("pass", F.explode(F.sequence(F.lit(0), times - 1)))
     begin = F.col("pass") * F.col("pass_tokens") + F.when(F.col("pass") < F.col("passes"), F.col("at")).otherwise(F.col("at_last"))
-    each = each.select("source", "doc_id", "pass", begin.alias("begin"), (begin + F.col("n_tokens")).alias("end"))
+    each = each.select("source", "row", "doc_id", "pass", begin.alias("begin"), (begin + F.col("n_tokens")).alias("end"))
     block = F.explode(F.sequence(F.floor(F.col("begin") / block_tokens), F.floor((F.col("end") - 1) / block_tokens)))
     cut = each.select("*", block.alias("block"))
     low, high = F.greatest("begin", F.col("block") * block_tokens), F.least("end", (F.col("block") + 1) * block_tokens)
-    rows = cut.select("source", "block", (low - F.col("block") * block_tokens).alias("offset"), "doc_id", "pass", (low - F.col("begin")).alias("first_token"), (high - low).alias("n_tokens"))
+    rows = cut.select("source", "block", (low - F.col("block") * block_tokens).alias("offset"), "row", "doc_id", "pass", (low - F.col("begin")).alias("first_token"), (high - low).alias("n_tokens"))
     return rows, [(p["source"], -(-ends.get(p["source"], 0) // block_tokens)) for p in plan]
 
 
-def _prepare(spark: SparkSession, sf_dir: str):
-    sized = sized_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def drawn_pieces(used: DataFrame, plan: list[dict], block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """``shard, slot`` and the pieces of documents of the blocks drawn for them, joined by the block's number."""
+    rows, blocks = packed(used, plan, block_tokens)
+    return slots(used.sparkSession, blocks, shard_blocks).join(rows, ["source", "block"])
+
+
+def usage(sized: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``doc_id, source, n_tokens, times`` of every document: how often the blocks drawn hold it whole. A document without tokens,
+    of no wanted source, or left out, is used 0 times."""
+    times = drawn.groupBy("row").agg(F.sum("n_tokens").alias("given"))
+    out = sized.select("row", "doc_id", "source", "n_tokens").join(times, "row", "left")
+    return out.select("doc_id", "source", "n_tokens", F.coalesce((F.col("given") / F.col("n_tokens")).cast("int"), F.lit(0)).alias("times"))
+
+
+def token_blocks(sized: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``shard, slot, source, block, ids, pieces``: the blocks drawn with their token ids (at most a block's) and where these are from."""
+    piece = drawn.join(sized.select("row", "ids"), "row").withColumn("ids", F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")))
+    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "pass", "first_token", "n_tokens", "ids")))  # pieces of one block
+    blocks = piece.groupBy("shard", "slot", "source", "block").agg(parts.alias("parts"))
+    return blocks.select("shard", "slot", "source", "block", F.flatten("parts.ids").alias("ids"), F.transform("parts", lambda p: p.dropFields("offset", "ids")).alias("pieces"))
+
+
+def _prepare(spark: SparkSession, sf_dir: str, ids: bool = False) -> tuple[DataFrame, DataFrame, list[dict]]:
+    sized = sized_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=ids)
     plan = source_plan(sized, spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
-    return usage(sized, plan), plan
+    return sized, drawn_pieces(passes(sized, plan), plan), plan
 
 
 def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used."""
-    return _prepare(spark, sf_dir)[0].select("doc_id", "source", "n_tokens", "times")
+    sized, drawn, _ = _prepare(spark, sf_dir)
+    return usage(sized, drawn)
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's target and actual share."""
-    used, plan = _prepare(spark, sf_dir)
-    return shares(used, plan, spark)
+    _, drawn, plan = _prepare(spark, sf_dir)
+    return shares(drawn, plan)
 
 
 def p7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture itself: for every slot of every shard the pieces of documents of its block."""
-    used, plan = _prepare(spark, sf_dir)
-    used = stage(used, "p7-usage")
-    rows, blocks = packed(used, plan)
-    return slots(spark, blocks).join(rows, ["source", "block"]).select("shard", "slot", "offset", "source", "block", "doc_id", "pass", "first_token", "n_tokens")
+    """The mixture itself: for every slot of every shard its block of token ids, and the pieces of documents these are from."""
+    sized, drawn, _ = _prepare(spark, sf_dir, ids=True)
+    return token_blocks(sized, drawn)
 
 
 QUERIES = {"p7_usage": p7_usage, "p7_shares": p7_shares, "p7_blocks": p7_blocks}
