@@ -128,6 +128,27 @@ def test_stretches(spark, model):
     assert all(0 <= s.confidence <= 1 for r in got.values() for s in r.stretches)
 
 
+def test_stretches_have_the_lowest_cross_entropy(model):
+    import numpy as np
+
+    hi, en = "वहाँ पहुँचने में करीब तीन घंटे लग गए थे", "the food at the village was simple but everyone felt at home"
+    words = [w for w in f"{hi} project {en} मोबाइल again {hi}".split()]
+    by = model.scores(words)
+    path = language.best_paths(language.limited(by, model.clip), np.array([len(words)]), model.switch)
+    for lang, a, b in language.decided(path, by):
+        entropy = -by[a:b].sum(axis=0) / sum(len(w) + 1 for w in words[a:b])
+        assert lang == entropy.argmin()
+    assert [model.languages[x[0]] for x in language.decided(path, by)] == ["hi", "en", "hi"]
+
+
+def test_sample_bound_of_languages(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "Latn", "a b"), (2, "en", "Latn", "c d")], "sample_id bigint, lang string, script string, text string").write.parquet(f"{tmp_path}/lang_samples.parquet")
+    spark.createDataFrame([("um", "en")], "term string, lang string").write.parquet(f"{tmp_path}/filler_terms.parquet")
+    assert language.fit(spark, str(tmp_path), 2).fillers == ("um",)
+    with pytest.raises(ValueError):
+        language.fit(spark, str(tmp_path), 1)
+
+
 def test_rejects_what_is_no_known_language(model):
     found = language.Labeller(model).label(__import__("pandas").Series(["你好 世界 再见 朋友", "ქართული ენა არის ლამაზი"]))
     assert {s["lang"] for f in found for s in f} == {"und"}

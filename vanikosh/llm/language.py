@@ -2,15 +2,22 @@
 
 The spoken words of a segment (names of speakers, times, notes and hesitations are
 left out by the line parser) get a log probability from one Kneser-Ney character
-model per language and script. A Viterbi pass over the words, in which changing the
-language costs ``SWITCH`` and one word can speak against a language by ``CLIP`` at
-most, finds the stretches, so that single borrowed, misspelt or unknown words stay
-within their stretch. Stretches of fewer than ``MIN_RUN`` words join their
-neighbour. A stretch whose cross-entropy per character is above a bound calibrated
-on held-out samples is rejected as ``und``.
-
-The models are fitted on ``lang_samples``, a fixed table; at most ``MAX_SAMPLES``
-rows of each language and script are used. ``english_word_tag.method`` isn't used:
+model per language and script. A best path over the words, on which changing the
+language has a cost and one word can speak against a language up to a limit, cuts the
+segment into stretches, so that single borrowed, misspelt or unknown words stay within
+their stretch; stretches of fewer than ``MIN_RUN`` words join their neighbour. The
+language of a stretch is the one of lowest cross-entropy per character. It is
+rejected as ``und`` if that is above a bound.
+
+Cost, limit, the bound and the temperature of the confidence are calibrated by
+cross-validation: sentences held out are put together to segments with borrowed and
+misspelt words and short insertions, and of the costs and limits within a standard
+error of the fewest wrong segments the one most reluctant to change is taken; the bound
+lies half-way between the level that all but ``REJECTED`` of the held-out runs reach and
+that of random characters.
+
+The models are fitted on ``lang_samples``, a fixed table; more than ``MAX_SAMPLES``
+rows of a language and script are an error. ``english_word_tag.method`` isn't used:
 it is a hint of varying worth, and the words themselves tell more.
 """
 
@@ -21,21 +28,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanikosh.llm.canon import canonical_series
 from vanikosh.llm.charlm import KneserNey, word_scores
 from vanikosh.llm.speech import LineParser
+from vanikosh.llm.turns import filler_terms
 from vanikosh.operators.stage import spread
+from vanikosh.session import ship_package
 
 LANGUAGES = ("hi", "en", "mr", "bn")
 MAX_SAMPLES = 20_000
 ORDER = 5
-CLIP = 5.0
-SWITCH = 9.0
 MIN_RUN = 4
 FOLDS = 5
+#: Costs of a change of language, and limits of one word's say, among which cross-validation chooses.
+SWITCHES = (5.0, 7.0, 9.0, 12.0, 16.0)
+CLIPS = (4.0, 5.0, 8.0, 12.0)
+#: Segments put together per fold, and the share of held-out runs below the level that calibrates rejection.
+MADE = 200
+#: Share of mixed segments that the choice allows for.
+MIXED = 0.05
+REJECTED = 0.001
 
 # --- fixed values: notations of the languages' labels ------------------------------
 
@@ -69,47 +84,101 @@ class LanguageModel:
         self.kind_language = np.array([self.languages.index(lang) for lang, _ in self.kinds], dtype=int)
         count = lambda part: [KneserNey(Counter(w for k, s, ws in part if (k, s) == kind for w in ws), order) for kind in self.kinds]
         self.models = count(rows)
-        self.temperature, self.reject_below = self._calibrate(rows, count)
+        self.clip, self.switch, self.temperature, self.reject_below = CLIPS[len(CLIPS) // 2], SWITCHES[len(SWITCHES) // 2], 1.0, -np.inf
+        if len(rows) >= 10 * FOLDS and len(self.kinds) >= 2:
+            self._calibrate(rows, count)
 
-    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per word and language, log probability below the best language's, clipped; and the best one per character."""
-        scores = word_scores(self.models, words)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word (rows) in each language (columns), by the better of its scripts; 0 for what has no letter."""
+        each = word_scores(self.models, words)
         by = np.full((len(words), len(self.languages)), -1e9)
         for j, lang in enumerate(self.kind_language):
-            by[:, lang] = np.maximum(by[:, lang], scores[:, j])
-        best = by.max(axis=1, keepdims=True) if len(words) else by[:, :1]
-        wordy = np.array([any(c.isalpha() for c in w) for w in words], dtype=bool)
-        out = np.where(wordy[:, None], np.maximum(by - best, -CLIP), 0.0) if len(words) else by
-        return out, np.where(wordy[:, None], by, 0.0) / np.array([[len(w) + 1] for w in words]) if len(words) else by
-
-    def _calibrate(self, rows, count) -> tuple[float, float]:
-        """Temperature with the least held-out loss over windows of MIN_RUN words; lowest held-out log probability per character, with a margin."""
-        if len(rows) < 10 * FOLDS or len(self.kinds) < 2:
-            return 1.0, -np.inf
-        keep, windows, truth, levels = self.models, [], [], []
+            by[:, lang] = np.maximum(by[:, lang], each[:, j])
+        wordy = np.array([any(map(str.isalpha, w)) for w in words], dtype=bool)
+        return np.where(wordy[:, None], by, 0.0) if len(words) else by
+
+    def _calibrate(self, rows, count) -> None:
+        rng = np.random.default_rng(len(rows))
+        keep, texts, truth, kinds, windows, own, levels = self.models, [], [], [], [], [], []
         for fold in range(FOLDS):
             self.models = count([r for i, r in enumerate(rows) if i % FOLDS != fold])
-            for lang, _, words in rows[fold::FOLDS]:
-                if not words:
-                    continue
-                em, per = self.emissions(words)
-                k = self.languages.index(lang)
-                lengths = np.array([len(w) + 1 for w in words])
-                levels.append(float((per[:, k] * lengths).sum() / lengths.sum()))
-                for i in range(0, max(1, len(words) - MIN_RUN + 1), 2):
-                    windows.append(em[i : i + MIN_RUN].sum(axis=0))
-                    truth.append(k)
+            held = [(self.languages.index(lang), words) for lang, _, words in rows[fold::FOLDS] if len(words) >= MIN_RUN]
+            made = [_made_up(held, rng) for _ in range(MADE)] if len({k for k, _ in held}) > 1 else []
+            flat = [w for words, _ in made for w in words] + [w for _, words in held for w in words]
+            by = self.scores(flat)
+            sizes = [len(words) for words, _ in made]
+            texts += np.split(by[: sum(sizes)], np.cumsum(sizes)[:-1]) if made else []
+            truth += [languages for _, languages in made]
+            at = sum(sizes)
+            for k, words in held:
+                part, lengths = by[at : at + len(words)], np.array([len(w) + 1 for w in words])
+                at += len(words)
+                for i in range(0, len(words) - MIN_RUN + 1, 2):
+                    run = part[i : i + MIN_RUN]
+                    windows.append(run)
+                    own.append(k)
+                    levels.append(run[:, k].sum() / lengths[i : i + MIN_RUN].sum())
         self.models = keep
-        z, t = np.array(windows), np.array(truth)
-
-        def loss(temp: float) -> float:
-            x = z / temp
+        if not texts or not windows:
+            return
+        ends, every = np.cumsum([len(x) for x in texts]), np.concatenate(texts)
+        wrong: dict[tuple[float, float], tuple[float, int, int]] = {}
+        for clip in CLIPS:
+            emissions = limited(every, clip)
+            for switch in SWITCHES:
+                path = best_paths(emissions, ends, switch)
+                found = [decided(path[a:b], every[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+                missed = np.array([{k for k, a, b in f if b - a >= MIN_RUN} != t for f, t in zip(found, truth)])
+                mixed = np.array([len(t) > 1 for t in truth])
+                wrong[clip, switch] = (1 - MIXED) * missed[~mixed].mean() + MIXED * missed[mixed].mean(), int(missed[~mixed].sum()), int(missed[mixed].sum())
+        least, pure, mixed = min(wrong.values())
+        bound = least + ((1 - MIXED) * (pure + 1) ** 0.5 + MIXED * (mixed + 1) ** 0.5) / (len(truth) / 2)
+        # of the choices within a standard error of the best, the one most reluctant to change the language
+        self.clip, self.switch = max((c for c, w in wrong.items() if w[0] <= bound), key=lambda c: (c[1], -c[0]))
+        z, t = np.array([limited(w, self.clip).sum(axis=0) for w in windows]), np.array(own)
+
+        def loss(temperature: float) -> float:
+            x = z / temperature
             return float(-(x[np.arange(len(t)), t] - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1)) - x.max(1)).mean())
 
-        return min((0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0), key=loss), 1.3 * min(levels)
+        self.temperature = min((0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0), key=loss)
+        random = -np.log(keep[0].alphabet)  # characters without any language
+        self.reject_below = float(np.quantile(levels, REJECTED, method="lower") + random) / 2
+
+
+def _made_up(held: list[tuple[int, list[str]]], rng: np.random.Generator) -> tuple[list[str], set[int]]:
+    """A segment put together from held-out sentences, and the languages it has runs of at least ``MIN_RUN`` words of."""
+    pick = lambda ok: held[rng.choice([i for i, h in enumerate(held) if ok(h[0])])]
+    k, words = held[rng.integers(len(held))]
+    j, other = pick(lambda x: x != k)
+    words, other, kind = list(words), list(other), rng.integers(4)
+    spot = int(rng.integers(len(words)))
+    words[spot] = _misspelt(words[spot], rng)
+    if kind == 0:  # one language, one borrowed word
+        words.insert(int(rng.integers(len(words) + 1)), str(rng.choice(other)))
+        return words, {k}
+    if kind == 1:  # one after the other
+        return words + other, {k, j}
+    if kind == 2:  # a run in the middle, with a borrowed word in it
+        run = other[: int(rng.integers(MIN_RUN, len(other) + 1))]
+        run.insert(int(rng.integers(1, len(run))), str(rng.choice(words)))
+        return words + run + pick(lambda x: x == k)[1], {k, j}
+    return words + other[: int(rng.integers(1, 3))] + pick(lambda x: x == k)[1], {k}  # a word or two of another language
+
+
+def _misspelt(word: str, rng: np.random.Generator) -> str:
+    if len(word) < 3:
+        return word
+    i = int(rng.integers(1, len(word) - 1))
+    return word[:i] + word[i + 1] + word[i] + word[i + 2 :] if rng.random() < 0.5 else word[:i] + word[i + 1 :]
 
 
-def best_paths(emissions: np.ndarray, ends: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+def limited(by: np.ndarray, clip: float) -> np.ndarray:
+    """How far each language is below the best one, word by word, at most ``clip``."""
+    return np.maximum(by - by.max(axis=1, keepdims=True), -clip) if len(by) else by
+
+
+def best_paths(emissions: np.ndarray, ends: np.ndarray, switch: float) -> np.ndarray:
     """The language of each word on the best path of its segment; all segments advance together, word by word."""
     n, langs = len(ends), emissions.shape[1]
     starts = np.concatenate([[0], ends[:-1]])
@@ -162,6 +231,18 @@ def _stretches(path: np.ndarray) -> list[tuple[int, int, int]]:
     return [tuple(r) for r in runs]
 
 
+def decided(path: np.ndarray, by: np.ndarray) -> list[tuple[int, int, int]]:
+    """The stretches of a path, each with the language of lowest cross-entropy; neighbours that get the same one are one."""
+    out: list[tuple[int, int, int]] = []
+    for _, a, b in _stretches(path):
+        lang = int(by[a:b].sum(axis=0).argmax())
+        if out and out[-1][0] == lang:
+            out[-1] = (lang, out[-1][1], b)
+        else:
+            out.append((lang, a, b))
+    return out
+
+
 class Labeller:
     """Labels batches of texts; remembers the scores of words, within a bound."""
 
@@ -171,8 +252,7 @@ class Labeller:
 
     def _clear(self):
         self.at: dict[str, int] = {}
-        self.em = np.zeros((0, len(self.model.languages)))
-        self.per = np.zeros((0, len(self.model.languages)))
+        self.by = np.zeros((0, len(self.model.languages)))
 
     def words(self, forms) -> list[list[str]]:
         core = self.parser.core
@@ -189,30 +269,30 @@ class Labeller:
             if len(self.at) + len(new) > self.memory:
                 self._clear()
                 new = list(dict.fromkeys(flat))
-            em, per = self.model.emissions([w.lower() for w in new])
-            self.at.update(zip(new, range(len(self.em), len(self.em) + len(new))))
-            self.em, self.per = np.concatenate([self.em, em]), np.concatenate([self.per, per])
-        rows = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        em, per = self.em[rows], self.per[rows]
+            by = self.model.scores([w.lower() for w in new])
+            self.at.update(zip(new, range(len(self.by), len(self.by) + len(new))))
+            self.by = np.concatenate([self.by, by])
+        by = self.by[np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))]
+        em = limited(by, self.model.clip)
         chars = np.fromiter(map(len, flat), np.int64, len(flat)) + 1
         ends = np.cumsum([len(ws) for ws in said])
-        path = best_paths(em, ends)
+        path = best_paths(em, ends, self.model.switch)
         starts = np.concatenate([[0], ends[:-1]])
         change = np.concatenate([[0], np.cumsum(path[1:] != path[:-1])])
+        level = np.concatenate([np.zeros((1, by.shape[1])), np.cumsum(by, axis=0)])
+        whole = (level[ends] - level[starts]).argmax(axis=1).tolist()
         spans: list[tuple[int, int, int, int]] = []
         for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
             if b > a:
                 if change[a] == change[b - 1]:
-                    spans.append((i, int(path[a]), a, b))
+                    spans.append((i, whole[i], a, b))
                 else:
-                    spans += [(i, lang, a + x, a + y) for lang, x, y in _stretches(path[a:b])]
+                    spans += [(i, lang, a + x, a + y) for lang, x, y in decided(path[a:b], by[a:b])]
         s = np.array(spans)
         total = np.concatenate([np.zeros((1, em.shape[1])), np.cumsum(em, axis=0)])
         z = (total[s[:, 3]] - total[s[:, 2]]) / self.model.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        own = per[np.arange(len(flat))[:, None], np.arange(per.shape[1])] * chars[:, None]
-        level = np.concatenate([np.zeros((1, per.shape[1])), np.cumsum(own, axis=0)])
         size = np.concatenate([[0], np.cumsum(chars)])
         each = np.arange(len(s))
         mean = (level[s[:, 3], s[:, 1]] - level[s[:, 2], s[:, 1]]) / (size[s[:, 3]] - size[s[:, 2]])
@@ -228,12 +308,13 @@ _STRETCH = "array<struct<lang:string,confidence:double,first_word:int,words:int>
 
 
 def fit(spark: SparkSession, sf_dir: str, max_samples: int = MAX_SAMPLES) -> LanguageModel:
-    """The model fitted on the bounded, fixed table ``lang_samples``."""
+    """The model fitted on the small fixed table ``lang_samples``; more than ``max_samples`` rows of a language and script are an error."""
     samples = spark.read.parquet(f"{sf_dir}/lang_samples.parquet").select("sample_id", "lang", "script", "text").where(F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES))
-    rank = F.row_number().over(Window.partitionBy("lang", "script").orderBy("sample_id"))
-    rows = samples.withColumn("_n", rank).where(F.col("_n") <= max_samples).orderBy("sample_id").collect()
-    terms = [r.term for r in spark.read.parquet(f"{sf_dir}/filler_terms.parquet").select("term").where("term is not null").distinct().orderBy("term").limit(max_samples).collect()]
-    return LanguageModel([(r.lang, r.script, r.text) for r in rows], terms)
+    most = samples.groupBy("lang", "script").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    if most > max_samples:
+        raise ValueError(f"more than {max_samples} samples of a language and script")
+    rows = samples.orderBy("sample_id").collect()
+    return LanguageModel([(r.lang, r.script, r.text) for r in rows], filler_terms(spark.read.parquet(f"{sf_dir}/filler_terms.parquet")))
 
 
 def stretches(segments: DataFrame, model: LanguageModel) -> DataFrame:
@@ -242,6 +323,7 @@ def stretches(segments: DataFrame, model: LanguageModel) -> DataFrame:
     ``segments``: ``seg_id, lang, text``; other columns are ignored. Rows that come
     again are labelled again. A text of any length is read whole.
     """
+    ship_package(segments.sparkSession)
     shared = segments.sparkSession.sparkContext.broadcast(model)  # a few MB, from a table of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
