@@ -15,29 +15,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vanikosh.functions.text import bind
+from vanikosh.session import ship_package
 
 PAIRS = T.ArrayType(T.StructType([T.StructField("ref", T.StringType()), T.StructField("hyp", T.StringType())]))
 OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("ref_w", T.StringType()), T.StructField("hyp_w", T.StringType())]))
 
-#: Characters that stand for tokens; a pair with more tokens is compared in Python.
+#: Characters that stand for tokens: the first kinds by place in this string, later ones by code point.
 _ALPHABET = "".join(map(chr, range(0x4E00, 0x9FA6)))
+_MORE = 0x10000
+#: Most kinds of tokens that two lists may have between them; a table of their prefixes would not fit any memory before.
+MOST_KINDS = 0x10FFFF - _MORE
 
 
 def token_distance(ref: Column, hyp: Column) -> Column:
-    """Least number of replaced, missing and added tokens."""
+    """Least number of replaced, missing and added tokens; more than ``MOST_KINDS`` kinds are an error."""
 
+    def letter(place: Column) -> Column:
+        point = F.decode(F.unhex(F.lpad(F.hex(place + _MORE), 8, "0")), "UTF-32")
+        return F.when(place <= len(_ALPHABET), F.substring(F.lit(_ALPHABET), place.cast("int"), F.lit(1))).otherwise(point)
 
     def compare(kinds: Column) -> Column:
-        named = lambda words: F.array_join(F.transform(words, lambda w: F.substring(F.lit(_ALPHABET), F.array_position(kinds, w).cast("int"), F.lit(1))), "")
-        return F.levenshtein(named(ref), named(hyp))
+        named = lambda words: F.array_join(F.transform(words, lambda w: letter(F.array_position(kinds, w))), "")
+        return F.when(F.size(kinds) <= MOST_KINDS, F.levenshtein(named(ref), named(hyp))).otherwise(F.raise_error(F.lit("too many kinds of tokens")).cast("int"))
 
-    few = F.size(ref) + F.size(hyp) <= len(_ALPHABET)
-    return F.when(few, bind(F.array_distinct(F.concat(ref, hyp)), compare)).otherwise(_distance(F.when(~few, ref), F.when(~few, hyp)))
-
-
-@F.pandas_udf(T.IntegerType())
-def _distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None or h is None else int(_table(*_codes(r, h), 0, 1, 1)[-1, -1]) for r, h in zip(ref, hyp)], dtype="Int32")
+    return F.when(ref.isNotNull() & hyp.isNotNull(), bind(F.array_distinct(F.concat(ref, hyp)), compare))
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
@@ -87,15 +88,34 @@ def _trace(ref, hyp, same: int, other: int, gap: int) -> list[tuple[str | None,
     return out[::-1]
 
 
+def align_tokens(ref: Column, hyp: Column) -> Column:
+    """``array<struct(ref, hyp)>``: alignment that earns 1 for a match and loses 1 for any mismatch or gap; null for a null side."""
+    ship_package()
+    return _align(ref, hyp)
+
+
+def edit_operations(ref: Column, hyp: Column) -> Column:
+    """The edit script of least length without its matches: S, D or I with both words, '' for a missing one. Empty for an empty reference."""
+    ship_package()
+    return _edit(ref, hyp)
+
+
+def lattice_error_rate(hyp: Column, bins: Column) -> Column:
+    """Least errors of a hypothesis against bins of accepted tokens, per bin or token, whichever are more.
+
+    A token of the bin is free, a bin with '' may be left out. Without bins, 0 for no token, else 1.
+    """
+    ship_package()
+    return _lattice_rate(hyp, bins)
+
+
 @F.pandas_udf(PAIRS)
-def align_tokens(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Alignment that earns 1 for a match and loses 1 for any mismatch or gap; null for a null side."""
+def _align(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or h is None else [{"ref": a, "hyp": b} for a, b in _trace(list(r), list(h), -1, 1, 1)] for r, h in zip(ref, hyp)], dtype=object)
 
 
 @F.pandas_udf(OPS)
-def edit_operations(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """The edit script of least length without its matches: S, D or I with both words, '' for a missing one. Empty for an empty reference."""
+def _edit(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
     def script(r, h):
         pairs = _trace(list(r), list(h), 0, 1, 1) if len(r) else []
@@ -105,11 +125,7 @@ def edit_operations(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def lattice_error_rate(hyp: pd.Series, bins: pd.Series) -> pd.Series:
-    """Least errors of a hypothesis against bins of accepted tokens, per bin or token, whichever are more.
-
-    A token of the bin is free, a bin with '' may be left out. Without bins, 0 for no token, else 1.
-    """
+def _lattice_rate(hyp: pd.Series, bins: pd.Series) -> pd.Series:
 
     def rate(tokens, accepted) -> float:
         if not len(accepted):

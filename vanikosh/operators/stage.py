@@ -8,34 +8,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Session setting: the number of partitions over which the rows of small inputs are dealt before work per row. Unset,
+#: rows stay where they lie. It is for tables of one file on a machine of many cores; ``local_session`` sets it.
+DEAL = "spark.vanikosh.deal"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set (a local session), a new temporary one, set for the session."""
+    """The session's checkpoint folder. Where none is set, a local session gets a temporary one; on a cluster, whose
+    machines don't share such a folder, that is an error."""
     path = spark.conf.get(CHECKPOINT_DIR, None) or getattr(spark, "_vanikosh_dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vanikosh-")
         spark._vanikosh_dir = path
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores: where a small input has fewer partitions than the cluster has cores, its rows are dealt out.
-    For work per row that outweighs moving the row; large inputs have more partitions and stay where they are, and so do
-    results of a shuffle, whose partitions aren't known before it runs."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "AdaptiveSparkPlan" in plan or "Exchange" in plan:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over as many partitions as the setting ``DEAL`` says, if it is set."""
+    parts = df.sparkSession.conf.get(DEAL, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: what follows neither repeats its work nor
-    depends on the executors that did it. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    depends on the executors that did it."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

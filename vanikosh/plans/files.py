@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanikosh.operators.lattice import evaluate
-from vanikosh.operators.stage import shared_dir
+from vanikosh.operators.stage import scratch
 from vanikosh.plans.tables import norm_sql, read
 from vanikosh.plans.words import lm_corpus
 from vanikosh.sources import samples
@@ -20,7 +18,7 @@ _COLUMNS = "id bigint, rid string, run_id string, reference string, baseline_pre
 def json_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predictions after they went through JSON lines, CSV and Parquet batches; the three agree in a row count each."""
     df = read(spark, sf_dir, "predictions", "id", "rid", "run_id", "reference", "baseline_pred", "ft_pred")
-    base = f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
+    base = scratch(spark, "roundtrip")
     write_json(df, f"{base}/json")
     write_csv(df, f"{base}/csv")
     write_batches(df, f"{base}/parquet")
@@ -38,7 +36,7 @@ def json_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lm_corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language model's corpus read back from its text files: lines and their counts."""
-    path = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    path = scratch(spark, "lm")
     write_lines(lm_corpus(spark, sf_dir), path)
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
         "spark.driver.memory": memory,
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
+        "spark.vanikosh.deal": str(os.cpu_count() if cores == "*" else cores),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -27,8 +28,11 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Gives the executors this package, once per context, wherever the driver found it."""
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Gives the executors this package, once per context, wherever the driver found it. Without a session, the active one's."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     context = spark.sparkContext
     if getattr(context, "_vanikosh_shipped", False):
         return
