@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vanikosh.llm.tokentable import portions
 from vanikosh.operators.stage import spread
+from vanikosh.session import ship_package
 
 # --- fixed values: the public pattern of the words, with white space spelled out ------
 
@@ -309,6 +310,7 @@ def encoded(documents: DataFrame, path: str | None = None, text: str = "text", k
 
     A null and an empty text have an empty list, a text of any length is encoded whole, repeated rows are kept.
     """
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(ByteBpe(path or default_path()))  # a few MB, fixed by the vocabulary
     rows = spread(documents.select(*keep, text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
@@ -326,6 +328,7 @@ def encoded(documents: DataFrame, path: str | None = None, text: str = "text", k
 
 def token_counts(documents: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``n_tokens``: the number of tokens of each text, 0 for null and empty ones."""
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(ByteBpe(path or default_path()))
     rows = spread(documents.select(*keep, text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)

@@ -225,6 +225,7 @@ def _form_fold(values: pd.Series) -> pd.Series:
 
 def canonical_column(column: Column, fold_case: bool = False) -> Column:
     """``canonical`` as a column. Python sees only values that the JVM pattern cannot prove to be in form already."""
+    ship_package()
     odd = F.when(column.rlike(ODD_PATTERN), column)
     # of the letters that are not odd, full folding changes ASCII only
     return F.coalesce(_form_fold(odd), F.lower(column)) if fold_case else F.coalesce(_form(odd), column)

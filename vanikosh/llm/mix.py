@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from vanikosh.llm.bpe import encoded, token_counts
 from vanikosh.operators.scans import running_sum
 from vanikosh.operators.stage import stage
+from vanikosh.session import ship_package
 
 BLOCK_TOKENS = 2048
 SHARD_BLOCKS = 1024
@@ -176,6 +177,7 @@ def shard_counts(counts: np.ndarray, shard: int, shards: int, shard_blocks: int,
 
 def slots(spark: SparkSession, blocks: list[tuple[str, int]], shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """``shard, slot, source, block``: every block of every source once. ``blocks``: source and number of its blocks."""
+    ship_package(spark)
     names = [s for s, n in blocks if n > 0]
     counts = np.array([n for _, n in blocks if n > 0], np.int64)
     shards = -(-int(counts.sum()) // shard_blocks)
