@@ -42,6 +42,7 @@ def periods_and_gaps(intervals: DataFrame, key: str, start: str, end: str, block
     events = (
         rows.select("k", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("plus"), F.lit(0).alias("minus")), F.struct(F.col("e").alias("t"), F.lit(0).alias("plus"), F.lit(1).alias("minus")))).alias("x"))
         .select("k", F.floor(F.col("x.t") / F.lit(block)).alias("b"), F.col("x.t").alias("t"), F.col("x.plus").alias("plus"), F.col("x.minus").alias("minus"))
+        .repartition("k", "b")  # what follows within blocks stays where it is
         .groupBy("k", "b", "t")
         .agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus"))
     )

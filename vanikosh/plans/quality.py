@@ -11,6 +11,7 @@ from vanikosh.functions.errors import category, repair, severity, spelling_varia
 from vanikosh.functions.numbers import digit_table, numeric_equivalents
 from vanikosh.functions.text import tokens
 from vanikosh.operators import lattice
+from vanikosh.operators.stage import stage
 from vanikosh.plans.tables import DISTANCES_SQL, HYPOTHESES_SQL, hypotheses, in_sql, read, recording_languages, tokenized, tokens_sql
 
 #: Sample size and order of the buckets of the stratified sample.
@@ -74,14 +75,17 @@ def stratified_sample(spark: SparkSession, sf_dir: str, size: int = SAMPLE) -> D
     """About ``size`` fine-tuned errors, in proportion to severity: quotas rounded half-even, one at least, the largest
     bucket takes what is over; within a bucket by the MD5 of the id, which stands in for a random order."""
     errors = scored(spark, sf_dir).where("model = 'fine_tuned' and wer > 0").select("id", "wer", severity(F.col("wer")).alias("severity"))
-    counts = errors.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    named = spark.createDataFrame([(s, i) for i, s in enumerate(SEVERITIES)], "severity string, rank int").join(counts, "severity", "left").select("severity", "rank", F.coalesce("n", F.lit(0)).alias("n"))
+    errors = stage(errors, "errors")
+    # the quotas add up to ``size`` and none but the largest, after its correction, is below 1: each is at most ``size`` + 2
+    found = errors.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    named = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(SEVERITIES)], "severity string, rank int")).join(found, "severity", "left").select("severity", "rank", F.coalesce("n", F.lit(0)).alias("n"))
     whole = Window.partitionBy()  # three rows
     quota = named.withColumn("quota", F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("n") / F.sum("n").over(whole), 0).cast("int")))
     largest = F.row_number().over(whole.orderBy(F.desc("quota"), "rank")) == 1
     quota = quota.withColumn("quota", F.when(largest, F.col("quota") + size - F.sum("quota").over(whole)).otherwise(F.col("quota")))
     place = F.row_number().over(Window.partitionBy("severity").orderBy(F.md5(F.col("id").cast("string")), "id"))
-    return errors.withColumn("place", place).join(F.broadcast(quota.select("severity", "quota")), "severity").where("place <= quota").select("id", "severity", F.bround("wer", 4).alias("wer"))
+    first = errors.withColumn("place", place).where(F.col("place") <= size + len(SEVERITIES) - 1)  # a literal limit, kept before the shuffle
+    return first.join(F.broadcast(quota.select("severity", "quota")), "severity").where("place <= quota").select("id", "severity", F.bround("wer", 4).alias("wer"))
 
 
 def edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
