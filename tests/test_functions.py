@@ -109,6 +109,7 @@ SPELLING = {
     "बॉस": ("incorrect", "high", "no_vowel"), "ककका": ("incorrect", "high", "tripled_consonant:क"), "का": ("correct", "high", "common_short_word"),
     "चा": ("correct", "medium", "consonant_and_sign"), "आज": ("correct", "medium", "vowel_and_consonant"), "ईई": ("correct", "low", "unusual_short_word"),
     "किताबकिताबकिताबकिता": ("correct", "low", "long:19"), "प्रकार": ("correct", "medium", "loan_cluster"), "21वीं": ("correct", "medium", "digits_and_letters"),
+    "अब": ("correct", "high", "common_short_word"), "।": ("correct", "high", "single_letter_word"), ".": ("incorrect", "medium", "unknown_character"),
     "किताब": ("correct", "high", "regular"), "": ("incorrect", "high", "empty"), "   ": ("incorrect", "high", "empty"),
     "😀": ("incorrect", "medium", "unknown_character"), "का😀": ("incorrect", "high", "foreign_character:U+1F600@2"),
 }
@@ -148,8 +149,14 @@ def test_composed_is_nfc(evaluate):
     rng = random.Random(1)
     letters = [chr(c) for c in range(0x900, 0x980)] + [chr(0x93C), chr(0x94D)] * 8
     words = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(500)]
-    odd = [w for w in words if not re.search("[़्॑-॔]{2}", w)]  # reordering of more than one pair is left to others
-    assert evaluate(odd, text.composed) == [unicodedata.normalize("NFC", w) for w in odd]
+    words += ["".join(rng.choice("कन" + "".join(text._CLASSES)) for _ in range(7)) for _ in range(500)]
+    words += ["न" + x for x in (chr(0x94D) * 2 + chr(0x93C), chr(0x951) + chr(0x93C), chr(0x951) + chr(0x952))]
+    assert evaluate(words, text.composed) == [unicodedata.normalize("NFC", w) for w in words]
+
+
+def test_nfc_of_any_script(evaluate):
+    words = ["cafe" + chr(0x301), "ক" + chr(0x9C7) + chr(0x9BE), "ক" + chr(0x9BC), "가", "न" + chr(0x93C), "", "a" + chr(0x300) + chr(0x93C)]
+    assert evaluate([*words, None], text.nfc) == [unicodedata.normalize("NFC", w) for w in words] + [None]
 
 
 def test_tokens_split_at_unicode_white_space(evaluate):

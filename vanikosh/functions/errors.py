@@ -69,8 +69,11 @@ def _governed(words: Column) -> Column:
     return F.transform(words, govern)
 
 
-def spelling_variants(token: Column) -> Column:
-    """The token and its forms with one sign replaced throughout, or without nukta, each in composed form."""
+def spelling_variants(token: Column, compose=composed) -> Column:
+    """The token and its forms with one sign replaced throughout, or without nukta, each in composed form.
+
+    ``compose``: ``composed`` for normalised tokens, ``nfc`` for tokens of any script.
+    """
     swaps = ((0x902, 0x901), (0x901, 0x902), (0x93F, 0x940), (0x940, 0x93F), (0x941, 0x942), (0x942, 0x941))
     forms = [token, *[F.replace(token, F.lit(chr(a)), F.lit(chr(b))) for a, b in swaps], F.replace(token, F.lit(chr(0x93C)), F.lit(""))]
-    return F.array_distinct(F.array(*[composed(f) for f in forms]))
+    return F.array_distinct(F.array(*[compose(f) for f in forms]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vanikosh.functions import lexicon as L
-from vanikosh.functions.text import U, WHITE, alternatives, bind, composed, word_at
+from vanikosh.functions.text import U, WHITE, alternatives, bind, nfc, word_at
 
 _C, _V, _S = f"[{L.CONSONANTS}]", f"[{L.VOWEL_LETTERS}]", f"[{L.VOWEL_SIGNS}]"
 _NASALS = [L.ANUSVARA, L.CHANDRABINDU]
@@ -52,7 +52,7 @@ def placement_issues(word: Column) -> Column:
 
 def classify(word: Column) -> Column:
     """``struct(label, confidence, reason)`` of a word; the first rule that holds decides. Null counts as empty."""
-    return bind(composed(F.coalesce(F.regexp_replace(word, rf"^[{WHITE}]+|[{WHITE}]+$", ""), F.lit(""))), _decide)
+    return bind(nfc(F.coalesce(F.regexp_replace(word, rf"^[{WHITE}]+|[{WHITE}]+$", ""), F.lit(""))), _decide)
 
 
 def _decide(w: Column) -> Column:

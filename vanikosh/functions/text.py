@@ -5,14 +5,19 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vanikosh.session import ship_package
 
 U = "\\" + "u"
 #: Content of a character class: every code point at which text splits into tokens.
 WHITE = rf"\t-\r\x1c-\x20\x85\xa0{U}1680{U}2000-{U}200a{U}2028{U}2029{U}202f{U}205f{U}3000"
-_NUKTA, _HALANT = chr(0x93C), chr(0x94D)
+_NUKTA = chr(0x93C)
 #: Composed form of Devanagari: letters that composition takes apart, and pairs that it joins.
 _APART = {chr(0x958 + i): chr(c) + _NUKTA for i, c in enumerate((0x915, 0x916, 0x917, 0x91C, 0x921, 0x922, 0x92B, 0x92F))}
 _TOGETHER = {chr(c - 1) + _NUKTA: chr(c) for c in (0x929, 0x931, 0x934)}
@@ -28,16 +33,57 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WHITE}]+"), lambda t: t != "")
 
 
+def _classes() -> list[str]:
+    """The combining marks that normalised text may hold, as contents of character classes, in their canonical order."""
+    by: dict[int, str] = {}
+    for c in (*range(0x900, 0x980), *range(0x1CD0, 0x1D00)):
+        if unicodedata.combining(chr(c)):
+            by[unicodedata.combining(chr(c))] = by.get(unicodedata.combining(chr(c)), "") + chr(c)
+    return [by[k] for k in sorted(by)]
+
+
+_CLASSES = _classes()
+_ALL_MARKS = "".join(_CLASSES)
+#: Texts of these characters have nothing to compose but what ``composed`` knows.
+_KNOWN = rf"^[ -~{U}0900-{U}097f{U}1cd0-{U}1cff{U}2000-{U}206f]*$"
+
+
+def _in_order(text: Column) -> Column:
+    """Runs of combining marks in canonical order; marks of one class stay in theirs."""
+
+    def sort(piece: Column) -> Column:
+        parts = [F.regexp_replace(piece, f"[^{c}]+", "") for c in _CLASSES]
+        return F.when(piece.rlike(f"^[{_ALL_MARKS}]"), F.concat(*parts)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"[{_ALL_MARKS}]+|[^{_ALL_MARKS}]+"), F.lit(0))
+    out = F.array_join(F.transform(pieces, sort), "")
+    for parts, one in _TOGETHER.items():  # marks of the first class don't keep a nukta from its letter
+        out = F.regexp_replace(out, f"{parts[0]}([{_CLASSES[0]}]+){_NUKTA}", f"{one}$1")
+    return F.when(text.rlike(f"[{_ALL_MARKS}]{{2}}"), out).otherwise(text)
+
+
 def composed(text: Column) -> Column:
     """Canonical composed form of Devanagari text; other scripts are left alone."""
-    text = F.replace(text, F.lit(_HALANT + _NUKTA), F.lit(_NUKTA + _HALANT))
     for one, parts in _APART.items():
         text = F.replace(text, F.lit(one), F.lit(parts))
+    text = _in_order(text)
     for parts, one in _TOGETHER.items():
         text = F.replace(text, F.lit(parts), F.lit(one))
     return text
 
 
+@F.pandas_udf(T.StringType())
+def _nfc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composed form of text of any script; what isn't ASCII or Devanagari goes through Python."""
+    ship_package()
+    other = F.when(~text.rlike(_KNOWN), text)
+    return F.when(other.isNull(), composed(text)).otherwise(_nfc(other))
+
+
 def normalized(text: Column) -> Column:
     """Devanagari, ASCII digits, blanks and the marks ``। ॥ , ? ! .`` only, blanks collapsed; null gives ''.
 

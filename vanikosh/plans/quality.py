@@ -9,7 +9,7 @@ from vanikosh.functions import lexicon
 from vanikosh.functions.align import edit_operations, token_distance, utterance_error_rate
 from vanikosh.functions.errors import category, repair, severity, spelling_variants
 from vanikosh.functions.numbers import digit_table, numeric_equivalents
-from vanikosh.functions.text import tokens
+from vanikosh.functions.text import nfc, tokens
 from vanikosh.operators import lattice
 from vanikosh.operators.stage import stage
 from vanikosh.plans.tables import DISTANCES_SQL, HYPOTHESES_SQL, hypotheses, in_sql, read, recording_languages, tokenized, tokens_sql
@@ -143,7 +143,7 @@ def numeric_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spelling_variants_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference_tokens(spark, sf_dir).where(r"token rlike '^[\\u0900-\\u097f]+$'").select("token", F.explode(spelling_variants(F.col("token"))).alias("form"))
+    return reference_tokens(spark, sf_dir).select("token", F.explode(spelling_variants(F.col("token"), nfc)).alias("form"))
 
 
 def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +312,7 @@ SELECT a.id, coalesce(o.repaired, '') AS repaired FROM a LEFT JOIN o USING (id)"
     "numeric_equiv": f"""
 WITH {_REF}, v AS (SELECT * FROM (VALUES {_DIGITS}) v(digit, word))
 SELECT token, token AS form FROM t UNION SELECT token, digit FROM t JOIN v ON word = token UNION SELECT token, word FROM t JOIN v ON digit = token""",
-    "spelling_variants": f"WITH {_REF}, d AS (SELECT token FROM t WHERE regexp_full_match(token, '[\\x{{900}}-\\x{{97f}}]+')), f AS ({_FORMS} UNION SELECT token, nfc_normalize(token) FROM d) SELECT DISTINCT token, form FROM f",
+    "spelling_variants": f"WITH {_REF}, d AS (SELECT token FROM t), f AS ({_FORMS} UNION SELECT token, nfc_normalize(token) FROM d) SELECT DISTINCT token, form FROM f",
 }
 del _suffix, _stems, _wrong, _right
 _REPAIRED = f"""{_EDITS}, rep AS ({SQL['repair_text']}), hit AS (SELECT DISTINCT id, cat FROM ops)"""
