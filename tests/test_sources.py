@@ -30,6 +30,20 @@ def test_audio_headers(spark, tmp_path):
     assert [(r.rate, r.channels, r.seconds) for r in row] == [(16000, 1, 1.0)]
 
 
+def test_audio_samples(spark, tmp_path):
+    import wave
+
+    for name, rate, frames in (("mono", 16000, [(0,), (16384,), (-32768,)]), ("stereo", 8000, [(8192, 24576), (0, 0)]), ("none", 16000, [])):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setparams((len(frames[0]) if frames else 1, 2, rate, 0, "NONE", "")) 
+            w.writeframes(b"".join(struct.pack(f"<{len(f)}h", *f) for f in frames))
+    (tmp_path / "bad.wav").write_bytes(b"no wav")
+    got = {r.path.split("/")[-1]: r for r in readers.audio_samples(spark, str(tmp_path)).collect()}
+    assert got["mono.wav"].samples == [0.0, 0.5, -1.0] and got["mono.wav"].seconds == 3 / 16000
+    assert got["stereo.wav"].samples == [0.5, 0.25, 0.0, 0.0]
+    assert got["none.wav"].samples == [] and got["bad.wav"].samples is None
+
+
 def test_writers_keep_nulls_and_empty_texts(spark, tmp_path):
     rows = [(1, None), (2, ""), (3, 'a "b", c'), (4, "दो\nपंक्ति"), (5, "\\N ")]
     df = spark.createDataFrame(rows, "id int, text string")

@@ -144,6 +144,13 @@ y AS (SELECT *, regexp_matches(substr(text, CAST(greatest(1, s - 10) AS BIGINT),
 z AS (SELECT seg_id, left(text, CAST(s - 1 AS BIGINT)) || CASE WHEN kept THEN span ELSE number END || after AS normed
       FROM y QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY k DESC) = 1),
 n AS (SELECT t.seg_id, coalesce(z.normed, t.text) AS normed FROM rid_transcription t LEFT JOIN z USING (seg_id) WHERE t.text IS NOT NULL)"""
+
+
+def numbers_sql(texts: str) -> str:
+    """``_REWRITTEN`` over another table of ``seg_id`` and ``text``."""
+    return _REWRITTEN.replace("FROM rid_transcription WHERE", f"FROM {texts} WHERE").replace("FROM rid_transcription t ", f"FROM (SELECT * FROM {texts}) t ")
+
+
 _CV, _VV, _SV = f"[{L.CONSONANTS}]", f"[{L.VOWEL_LETTERS}]", f"[{L.VOWEL_SIGNS}]"
 _NASAL, _DIA = L.ANUSVARA + L.CHANDRABINDU, L.ANUSVARA + L.CHANDRABINDU + L.VISARGA + L.NUKTA
 _HAS = lambda p: f"regexp_matches(w, '{p}')"

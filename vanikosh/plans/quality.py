@@ -11,6 +11,7 @@ from vanikosh.functions.errors import category, repair, severity, spelling_varia
 from vanikosh.functions.numbers import digit_table, numeric_equivalents
 from vanikosh.functions.text import nfc, tokens
 from vanikosh.operators import lattice
+from vanikosh.operators.metric import IGNORED, corpus_metric
 from vanikosh.operators.stage import stage
 from vanikosh.plans.tables import DISTANCES_SQL, HYPOTHESES_SQL, hypotheses, in_sql, read, recording_languages, tokenized, tokens_sql
 
@@ -88,6 +89,34 @@ def stratified_sample(spark: SparkSession, sf_dir: str, size: int = SAMPLE) -> D
     return first.join(F.broadcast(quota.select("severity", "quota")), "severity").where("place <= quota").select("id", "severity", F.bround("wer", 4).alias("wer"))
 
 
+def sample_display(spark: SparkSession, sf_dir: str, width: int = 55) -> DataFrame:
+    """The stratified sample as it is shown: reference and prediction cut to ``width`` characters."""
+    texts = hypotheses(spark, sf_dir).where("model = 'fine_tuned'").select("id", F.left("ref", F.lit(width)).alias("reference"), F.left("hyp", F.lit(width)).alias("prediction"))
+    return texts.join(F.broadcast(stratified_sample(spark, sf_dir)), "id").select("id", "severity", "wer", "reference", "prediction")  # at most SAMPLE + 2 rows
+
+
+def category_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories that occur by their count, the one seen first before others as frequent."""
+    counts = edit_ops(spark, sf_dir).groupBy("cat").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "seq")).alias("first"))
+    return counts.select(F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("place"), "cat", "n")  # a row per category
+
+
+def joined_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and outputs of the models, kept apart by their key, joined again."""
+    both = hypotheses(spark, sf_dir)
+    return lattice.hypotheses_of(both.select("id", "ref"), both.select("id", "model", "hyp"), ["id"])
+
+
+def metric_from_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus rate of the fine-tuned hypotheses from ids of a vocabulary of their words, with ignored places in the references."""
+    pairs = tokenized(hypotheses(spark, sf_dir).where("model = 'fine_tuned'")).select(F.col("id").alias("row"), "r", "h")
+    words = pairs.select(F.explode(F.concat("r", "h")).alias("word")).distinct()
+    vocabulary = stage(words.select(F.xxhash64("word").alias("id"), F.concat(F.lit(" "), "word").alias("piece")), "vocabulary")
+    ids = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    rows = pairs.select("row", F.concat(ids("r"), F.array(F.lit(IGNORED).cast("bigint"), F.lit(IGNORED).cast("bigint"))).alias("label_ids"), ids("h").alias("pred_ids"))
+    return corpus_metric(rows, vocabulary, 0)
+
+
 def edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edit operations of the fine-tuned hypotheses with their categories."""
     pairs = tokenized(hypotheses(spark, sf_dir).where("model = 'fine_tuned'"))
@@ -174,7 +203,7 @@ def unfair_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        std_wer, utterance_wer, edit_op_counts, corpus_wer_by_lang, corpus_wer_by_run, relative_improvement, wer_severity_counts, stratified_sample, edit_ops, error_taxonomy,
+        std_wer, utterance_wer, edit_op_counts, corpus_wer_by_lang, corpus_wer_by_run, relative_improvement, wer_severity_counts, stratified_sample, sample_display, category_ranking, joined_hypotheses, metric_from_ids, edit_ops, error_taxonomy,
         taxonomy_examples, repair_text, repair_delta, repaired_examples, numeric_equiv, position_votes, lattice_bins, lattice_wer, unfair_pairs,
     )
 } | {"spelling_variants": spelling_variants_of_tokens}
@@ -323,6 +352,14 @@ b AS (SELECT c.k AS id, len(c.r) AS n, c.cost[len(c.cost)] AS b, c2.cost[len(c2.
 g AS (SELECT cat, count(*) AS utterances, sum(n) AS words, sum(b) AS b, sum(a) AS a FROM hit JOIN b USING (id) GROUP BY cat)
 SELECT v.cat, coalesce(utterances, 0) AS utterances, {_R4('100.0 * b / words')} AS before, {_R4('100.0 * a / words')} AS after, {_R4('100.0 * (b - a) / words')} AS delta
 FROM (VALUES {", ".join(f"('{c}')" for c in REPAIRED)}) v(cat) LEFT JOIN g ON g.cat = v.cat"""
+SQL["sample_display"] = f"""
+SELECT s.id, s.severity, s.wer, left(x.ref, 55) AS reference, left(x.hyp, 55) AS prediction
+FROM ({SQL['stratified_sample']}) s JOIN (WITH {HYPOTHESES_SQL} SELECT * FROM h WHERE model = 'fine_tuned') x ON x.id = s.id"""
+SQL["category_ranking"] = f"""
+WITH RECURSIVE {_EDITS}, g AS (SELECT cat, count(*) AS n, min(id) AS a, min((id, seq)) AS first FROM ops GROUP BY cat)
+SELECT CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS place, cat, n FROM g"""
+SQL["joined_hypotheses"] = f"WITH {HYPOTHESES_SQL} SELECT id, ref, model, hyp FROM h"
+SQL["metric_from_ids"] = f"WITH RECURSIVE {DISTANCES_SQL} SELECT CASE WHEN sum(n) > 0 THEN {_R4('100.0 * sum(errors) / sum(n)')} END AS wer FROM s WHERE model = 'fine_tuned'"
 SQL["repaired_examples"] = f"""
 WITH RECURSIVE {_REPAIRED}
 SELECT h.id, h.hyp, rep.repaired FROM (SELECT id, min(CASE WHEN cat = 'GRAM_INFLECTION' THEN 0 ELSE 1 END) AS rank FROM hit WHERE cat IN ('GRAM_INFLECTION', 'POSTPOSITION_ERROR') GROUP BY id) x

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanikosh.functions.text import normalized
@@ -41,21 +41,68 @@ LATTICE_SAMPLES = (
 )
 
 
+#: Sentences of one recording.
+TRANSCRIPTS = (
+    "अब काफी अच्छा होता है क्योंकि उनकी जनसंख्या बहुत कम है",
+    "अनुभव करके कुछ लिखना था तो वह तो बिना देखे नहीं हो सकती थी",
+    "जंगल का सफर होता है जब हम रहने के लिए गए थे",
+    "पहली बारी था क्योंकि चलना नहीं आता न वहाँ का जो लैंड एरिया होता है",
+    "हां तो फिर वहां जो दिन भर खोजने में वक्त बीत गया",
+    "बहुत अजीब सा आवाज आने लगा बहुत अजीब सा डर तो इतना लगा था",
+    "डर लगता है लेकिन बहुत सारे थे तो सब अपना अपना कैम्प डाल के रह रहा था",
+    "रात को मतलब जैसे छः सात आठ किलोमीटर में नौ बजे है",
+    "लगता है कि सर सुबह हो गया लेकिन कोई उठाने वाला नहीं था",
+    "हम लोग की तो सुबह होती है की मम्मी उठाने आती है",
+    "आराम से सो रहे थे हम और पता है जब उठे ना तो वो लोग चिला रहे थे",
+    "बहुत अजीब सा अनुभव था क्योंकि वो उठा उठा के उनको पटक रहे थे",
+    "उनको लगा कि शायद उनको खतरा महसूस हो रहा था हम लोग से",
+    "हां बाहरी आ गया तो वो अपने भाषा में कुछ बात किए",
+    "रोड का जो एरिया वो रोड पे हम लोग को छोड़ने आए",
+    "पता है लेकिन जब लोग घूमने जाते हैं तो लाइट वगैरा लेकर जाने चाहिए",
+    "हम ने मिस्टेक किए कि हम लाइट नहीं ले गए थे",
+    "तो जहां डर रहेगा वहा थोड़ा सा मजा आएगा",
+    "आपको एक बात पता जब तंबू गाड़ के रहते हैं तो आसपास आग लहरा देना चाहिए",
+    "उसने कॉलेज में प्रेजेंटेशन दिया और रिजल्ट अच्छा आया",
+    "हमारा प्रोजेक्ट भी था कि जो जनजाति पाई जाती है उधर की एरिया में",
+    "यह काम बहुत मुश्किल था लेकिन हमने इसे पूरा किया",
+    "वह हर दिन सुबह जल्दी उठता है और व्यायाम करता है",
+    "मुझे नहीं पता था कि यह इतना आसान होगा",
+    "उन्होंने बताया कि यहाँ का मौसम बहुत अच्छा रहता है",
+    "शहर में रहने के लिए बहुत खर्च होता है",
+    "वो लोग बहुत मेहनती हैं और हमेशा समय पर काम करते हैं",
+    "इस साल बारिश कम हुई है इसलिए फसल भी कम होगी",
+    "हमने मिलकर यह फैसला किया कि अब आगे बढ़ना है",
+    "बच्चे स्कूल से लौट आए और खाना खाने लगे",
+)
+
+# --- texts of our own -------------------------------------------------------------------
+
+#: Number words inside and outside of phrases that keep them.
+NUMBER_TEXTS = (
+    "दो-चार बातें करनी हैं", "उसने तीन सौ चौवन रुपये दिए", "एक बात बताओ", "दो - तीन दिन रुको", "वह एक ओर खड़ा था", "घर में पच्चीस लोग हैं",
+    "दो नंबर का काम", "एक हज़ार दो सौ पेड़", "पाँच–छह किताबें लाओ", "एक बार में सात गए", "तीन", "", "यहाँ कोई संख्या नहीं",
+)
+
+
+def _share(key: str) -> Column:
+    """A pseudorandom number from 0 to below 1 that any SQL can work out: eight hexadecimal digits of the MD5 of the key."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") / 4294967296
+
+
 def cycled(spark: SparkSession, texts, rows: int) -> DataFrame:
     """``id, text, duration`` of ``rows`` rows that go round the texts; those empty after normalisation are left out.
 
     The durations, 4 to 18 seconds, are pseudorandom and the same in every run.
     """
     table = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     rounds = spark.range(rows).withColumn("k", F.pmod("id", F.lit(max(1, len(texts)))).cast("int"))
-    return rounds.join(F.broadcast(table), "k").select("id", normalized(F.col("text")).alias("text"), F.round(4 + 14 * part, 3).alias("duration")).where("text <> ''")
+    return rounds.join(F.broadcast(table), "k").select("id", normalized(F.col("text")).alias("text"), (F.floor(4000 + 14_000 * _share("id")) / 1000).alias("duration")).where("text <> ''")
 
 
 def replicated_pairs(spark: SparkSession, rows: int = 350, pairs=ERROR_PAIRS, blank_share: float = 0.3) -> DataFrame:
     """``id, reference, baseline_pred, ft_pred``: the pairs in turn; a pseudorandom share of the baseline is blank."""
     table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "k int, reference string, hypothesis string")
-    blank = F.pmod(F.xxhash64("id"), F.lit(1000)) < int(1000 * blank_share)
+    blank = _share("id") < blank_share
     hyp = normalized(F.col("hypothesis"))
     rounds = spark.range(rows).withColumn("k", F.pmod("id", F.lit(len(pairs))).cast("int")).join(F.broadcast(table), "k")
     return rounds.select("id", normalized(F.col("reference")).alias("reference"), F.when(blank, "").otherwise(hyp).alias("baseline_pred"), hyp.alias("ft_pred"))
