@@ -186,7 +186,27 @@ _SPELL = f"""
 a AS (SELECT ord, word, classification, coalesce(nfc_normalize(regexp_replace(word, '^{WHITE_SQL}+|{WHITE_SQL}+$', '', 'g')), '') AS w FROM word_result),
 s AS (SELECT *, split_part({_DECIDED}, ' ', 1) AS label, split_part({_DECIDED}, ' ', 2) AS confidence, split_part({_DECIDED}, ' ', 3) AS reason FROM a)"""
 
+_AT, _BEFORE, _AFTER = "substr(w, CAST(i + 1 AS BIGINT), 1)", "CASE WHEN i > 0 THEN substr(w, CAST(i AS BIGINT), 1) ELSE '' END", "substr(w, CAST(i + 2 AS BIGINT), 1)"
+_ONE_OF = lambda c, letters: f"({c} <> '' AND contains('{letters}', {c}))"
+_SIGN, _ISSUES = _ONE_OF(_AT, L.VOWEL_SIGNS), []
+for _code, _test in (
+    ("sign_at_start", f"{_SIGN} AND i = 0"), ("sign_after_sign", f"{_SIGN} AND {_ONE_OF(_BEFORE, L.VOWEL_SIGNS)}"), ("sign_after_diacritic", f"{_SIGN} AND {_ONE_OF(_BEFORE, _NASAL + L.VISARGA)}"),
+    ("halant_at_end", f"{_AT} = '{L.HALANT}' AND i = length(w) - 1"), ("halant_after_non_consonant", f"{_AT} = '{L.HALANT}' AND i > 0 AND NOT {_ONE_OF(_BEFORE, L.CONSONANTS)}"),
+    ("halant_after_halant", f"{_AT} = '{L.HALANT}' AND {_BEFORE} = '{L.HALANT}'"), ("nasal_at_start", f"{_ONE_OF(_AT, _NASAL)} AND i = 0"),
+    ("anusvara_doubled", f"{_AT} = '{L.ANUSVARA}' AND {_BEFORE} = '{L.ANUSVARA}'"), ("visarga_before_non_consonant", f"{_AT} = '{L.VISARGA}' AND i < length(w) - 1 AND NOT {_ONE_OF(_AFTER, L.CONSONANTS)}"),
+):
+    _ISSUES.append(f"CASE WHEN {_test} THEN '{_code}@' || i END")
+del _code, _test
+_FOREIGN_SQL = r"regexp_extract(w, '[^\x{900}-\x{97f}0-9''–-]')".replace("\\\\", "\\")
+_REASON = f"""CASE reason
+  WHEN 'too_long' THEN 'too_long:' || length(w) WHEN 'long' THEN 'long:' || length(w)
+  WHEN 'foreign_character' THEN 'foreign_character:U+' || format('{{:04X}}', unicode({_FOREIGN_SQL})) || '@' || (strpos(w, {_FOREIGN_SQL}) - 1)
+  WHEN 'tripled_consonant' THEN 'tripled_consonant:' || list_filter(string_split(w, ''), lambda c, i: {_ONE_OF('c', L.CONSONANTS)} AND substr(w, i, 3) = c || c || c)[1]
+  WHEN 'placement' THEN 'placement:' || array_to_string(flatten(list_transform(range(0, length(w)), lambda i: list_filter([{", ".join(_ISSUES)}], lambda x: x IS NOT NULL)))[1:2], '; ')
+  ELSE reason END"""
+
 SQL = {
+    "spell_classify": f"WITH {_SPELL} SELECT ord, word, label, confidence, {_REASON} AS reason FROM s",
     "number_normalize": f"WITH RECURSIVE {_REWRITTEN} SELECT seg_id, normed FROM n",
     "number_changes": f"""
 WITH RECURSIVE {_REWRITTEN}
