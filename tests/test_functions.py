@@ -155,7 +155,9 @@ def test_composed_is_nfc(evaluate):
 
 
 def test_nfc_of_any_script(evaluate):
-    words = ["cafe" + chr(0x301), "ক" + chr(0x9C7) + chr(0x9BE), "ক" + chr(0x9BC), "가", "न" + chr(0x93C), "", "a" + chr(0x300) + chr(0x93C)]
+    words = ["cafe" + chr(0x301), "ক" + chr(0x9C7) + chr(0x9BE), "ক" + chr(0x9BC), "가", "न" + chr(0x93C), "", "a" + chr(0x300) + chr(0x93C), chr(0x2000) + "a" + chr(0x2001), "é" + chr(0x301), "ｈी" + chr(0xFEFF)]
+    known = [c for c in map(chr, range(0x20, 0x10000)) if re.fullmatch(text._KNOWN.replace(text.U, "\\u"), c) and not 0x900 <= ord(c) < 0x980]
+    assert all(unicodedata.normalize("NFC", c) == c for c in known) and not any(unicodedata.combining(c) for c in known if not 0x1CD0 <= ord(c) < 0x1D00)
     assert evaluate([*words, None], text.nfc) == [unicodedata.normalize("NFC", w) for w in words] + [None]
 
 

@@ -44,8 +44,8 @@ def _classes() -> list[str]:
 
 _CLASSES = _classes()
 _ALL_MARKS = "".join(_CLASSES)
-#: Texts of these characters have nothing to compose but what ``composed`` knows.
-_KNOWN = rf"^[ -~{U}0900-{U}097f{U}1cd0-{U}1cff{U}2000-{U}206f]*$"
+#: Texts of these characters (of which only those of Devanagari combine) have nothing to compose but what ``composed`` knows.
+_KNOWN = rf"^[ -~{U}00a0-{U}02ff{U}0391-{U}03c9{U}0400-{U}0482{U}0900-{U}097f{U}1cd0-{U}1cff{U}2002-{U}206f{U}feff{U}ff00-{U}ff9d]*$"
 
 
 def _in_order(text: Column) -> Column:
